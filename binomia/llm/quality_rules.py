@@ -143,7 +143,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([F.col(lang_col).alias("lang")] if lang_col else []))
     out, names = assessed(own, "text", "lang" if lang_col else None)
     shown = {"n": "n_words", "wc": "word_chars", "sym": "n_symbols", "dup": "n_dup_lines", "rep": "n_repeat_words", "failed": "base_failed", "kept": "kept", "dc": "class_distance", "dw": "word_distance"}
-    return out.select("doc_id", *[F.col(names[k]).alias(v) for k, v in shown.items()])
+    verdict = F.struct(*[F.col(names[k]).alias(v) for k, v in shown.items()])
+    return out.select("doc_id", F.explode_outer(F.array(verdict)).alias("_v")).select("doc_id", "_v.*")  # see keep_good()
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
