@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import assemble, chunking, gazetteer, latin, matches, merge, resolve, segment
+from .operators import assemble, chunking, gazetteer, latin, llm_names, matches, merge, resolve, segment
 from .plans import pipeline
 from .plans.config import Config
 from .sources import store
@@ -253,6 +253,38 @@ def pipeline_summary(spark, sf):
     return s.select(*[F.col(c).cast("long").alias(c) for c in ("total_candidates", "unique_candidates", "identified_count", "unidentified_count", "skipped_resolution", "search_calls")])
 
 
+def expanded_context(spark, sf):
+    docs = _docs(spark, sf)
+    out = segment.expanded_context(latin.latin_mentions(docs).where("start_char % 3 = 0"), segment.sentences(docs))
+    return out.select("doc_id", "start_char", "source_text", F.md5("expanded_context").alias("context_md5"))
+
+
+def gazetteer_candidates(spark, sf):
+    """Dictionary candidates with confidence; the names are the benchmark texts' first two words."""
+    pair = F.lower(F.regexp_extract("text", r"^([A-Za-z]+ [A-Za-z]+)", 1))
+    own = _table(spark, sf, "benchmark").select("item_id", pair.alias("name")).where("name <> ''")
+    names = own.select(F.col("item_id").alias("id"), F.col("item_id").alias("taxon_id"), "name", F.col("name").alias("name_normalized"), F.lit(None).cast("string").alias("name_lemmatized"), F.lit("en").alias("locale"), F.lit(True).alias("is_preferred"))
+    found = gazetteer.gazetteer_mentions(_docs(spark, sf), names, "en")
+    return found.select("doc_id", "start_char", "end_char", "source_text", "line_number", "confidence", F.array_join("gazetteer_taxon_ids", ",").alias("ids"))
+
+
+def llm_mentions(spark, sf):
+    """Candidates of a model's replies; the model here names each chunk's first capitalised word, in a code fence."""
+    docs = _docs(spark, sf)
+    name = F.regexp_extract("user", "[A-Z][a-z]{3,}", 0)
+    reply = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.array(F.struct(name.alias("name"), F.lit("").alias("context"))).alias("candidates"))), F.lit("\n```"))
+    found = llm_names.llm_mentions(docs, chunking.chunks(docs, "page", 50, 150, by_sentences=False), "name organisms", lambda prompts: prompts.select("prompt_key", reply.alias("raw")))
+    return found.select("doc_id", "idx", "source_text", "start_char", "end_char", "line_number", "confidence", F.md5("source_context").alias("context_md5"))
+
+
+def gazetteer_matches(spark, sf):
+    """Matches of groups that need no search: each customer's taxa by number, with records from part and customer."""
+    ids = F.array(F.col("c_custkey") % 13, F.col("c_custkey") % 89, F.col("c_custkey") % 13, F.lit(-1).cast("bigint"))
+    groups = _table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.lower("c_name").alias("normalized"), ids.alias("gazetteer_taxon_ids"))
+    m = matches.gazetteer_matches(groups, _taxa(spark, sf), gazetteer.preferred_names(_customer_names(spark, sf), "ru"), ["key"])
+    return m.select("key", F.posexplode("matches").alias("pos", "m")).select("key", "pos", "m.taxon_id", "m.taxon_name", "m.taxon_matched_name", "m.taxon_common_name_en", "m.taxon_common_name_loc", "m.score")
+
+
 # -- DuckDB --------------------------------------------------------------------------------------------------------------
 
 _quoted = lambda xs: ", ".join(f"'{x}'" for x in xs)
@@ -323,6 +355,21 @@ ORACLES = {
     "sentence_spans": f"WITH {_SENTENCES.strip()} SELECT doc_id, sent_idx, s AS \"start\", e AS \"end\", md5(tx) text_md5 FROM sent",
     "sentence_context": f"""WITH {_SPANS}, {_SENTENCES.strip()} SELECT l.doc_id, start_char, source_text, md5(coalesce(tx, string_split(text, chr(10))[line_number])) context_md5
         FROM latin l LEFT JOIN sent t ON l.doc_id = t.doc_id AND s <= start_char AND start_char < e""",
+    "expanded_context": f"""WITH {_SPANS}, {_SENTENCES.strip()}, w AS (SELECT doc_id, sent_idx, s, e, concat_ws(' ', lag(tx) OVER o, tx, lead(tx) OVER o) wide FROM sent WINDOW o AS (PARTITION BY doc_id ORDER BY sent_idx))
+        SELECT l.doc_id, start_char, source_text, md5(arg_min(wide, sent_idx)) context_md5 FROM latin l LEFT JOIN w ON l.doc_id = w.doc_id AND (s <= start_char AND start_char < e OR s < end_char AND end_char <= e)
+        WHERE start_char % 3 = 0 GROUP BY l.doc_id, start_char, source_text""",
+    "gazetteer_candidates": f"""WITH n AS (SELECT item_id, lower(regexp_extract(text, '^([A-Za-z]+ [A-Za-z]+)', 1)) nm FROM benchmark), g AS (SELECT nm, count(*) c, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) ids FROM n WHERE nm <> '' GROUP BY ALL), {_TOKENS.strip()},
+        two AS (SELECT doc_id, st, en FROM ng WHERE en IS NOT NULL AND contains(k, chr(1))), x AS (SELECT two.doc_id, st, en, substring(text, st + 1, en - st) src, substring(text, 1, st) pre FROM two JOIN documents USING (doc_id))
+        SELECT doc_id, st start_char, en end_char, src source_text, (1 + length(pre) - length(replace(pre, chr(10), '')))::INT line_number, CASE WHEN c > 1 THEN 0.8 ELSE 1.0 END::DOUBLE confidence, ids FROM x JOIN g ON lower(src) = nm""",
+    "llm_mentions": """WITH w AS (SELECT doc_id, text, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') w FROM documents), k AS (SELECT doc_id, text, w, unnest(generate_series(0, (len(w) - 1) // 150)) i FROM w WHERE len(w) > 0),
+        c AS (SELECT doc_id, text, i, regexp_extract(array_to_string(w[i * 150 + 1 : i * 150 + 150], ' '), '[A-Z][a-z]{3,}') nm FROM k), d AS (SELECT *, instr(text, nm) - 1 st FROM c WHERE nm <> ''),
+        e AS (SELECT *, 1 + length(substring(text, 1, st)) - length(replace(substring(text, 1, st), chr(10), '')) ln FROM d)
+        SELECT doc_id, i::INT idx, nm source_text, st::INT start_char, (st + length(nm))::INT end_char, ln::INT line_number, 0.6::DOUBLE confidence, md5(string_split(text, chr(10))[ln]) context_md5 FROM e""",
+    "gazetteer_matches": """WITH n AS (SELECT c_custkey id, c_custkey % 97 taxon_id, CASE WHEN c_custkey % 11 = 0 THEN '' ELSE c_name END AS name, CASE c_custkey % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'ru' ELSE 'de' END locale, c_custkey % 5 = 0 p FROM customer),
+        a AS (SELECT taxon_id, locale, coalesce(nullif(arg_min(name, id) FILTER (p), ''), arg_min(name, id)) AS name FROM n WHERE locale IN ('en', 'ru') GROUP BY ALL),
+        i AS (SELECT c_custkey AS "key", lower(c_name) norm, unnest([c_custkey % 13, c_custkey % 89]) t, unnest([0, 1]) o FROM customer), u AS (SELECT * FROM i WHERE o = 0 OR t <> "key" % 13)
+        SELECT u."key", (row_number() OVER (PARTITION BY u."key" ORDER BY o) - 1)::INT pos, t taxon_id, p_name taxon_name, norm taxon_matched_name, e.name taxon_common_name_en, r.name taxon_common_name_loc, CASE WHEN o = 0 THEN 1.0 ELSE 0.5 END::DOUBLE score
+        FROM u JOIN part ON p_partkey = t LEFT JOIN a e ON e.taxon_id = t AND e.locale = 'en' LEFT JOIN a r ON r.taxon_id = t AND r.locale = 'ru'""",
     "json_repair": "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN (props::JSON ->> 'k')::BIGINT ELSE -1 END k FROM events",
     "encoding_score": "SELECT p_partkey, 2 * len(regexp_extract_all(x, '[а-яё]')) + len(regexp_extract_all(x, '[А-ЯЁ]')) score FROM (SELECT p_partkey, p_name || ' Липа ёж ЁЛЬ ' || repeat('ж', p_size) x FROM part)",
     "estimate": f"WITH {_SPANS}, {_SENTENCES.strip()}, a AS (SELECT doc_id, count(*) n FROM sent GROUP BY ALL), b AS (SELECT doc_id, count(*) n FROM latin GROUP BY ALL) SELECT d.doc_id, coalesce(a.n, 0)::BIGINT sentences, coalesce(b.n, 0)::BIGINT regex_candidates, 0::BIGINT chunks, 0::BIGINT llm_calls FROM documents d LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id)",
@@ -333,7 +380,7 @@ ORACLES = {
 }
 _NAMES = (
     "latin_mentions latin_confidence normalize_tokens search_variants gazetteer_mappings gazetteer_record gazetteer_mentions overlap_best candidate_groups dedup_results occurrence_explode response_matches identify merge_top5 "
-    "cache_upsert ttl_cache_lookup word_chunks sliding_chunks sentence_spans sentence_context paragraph_chunks page_chunks json_repair encoding_score estimate resolved_results pipeline_summary"
+    "cache_upsert ttl_cache_lookup word_chunks sliding_chunks sentence_spans sentence_context expanded_context gazetteer_candidates llm_mentions gazetteer_matches paragraph_chunks page_chunks json_repair encoding_score estimate resolved_results pipeline_summary"
 ).split()
 
 
