@@ -9,6 +9,8 @@ from ..functions.text import lemmatize
 from .segment import TOKEN, tokens
 
 JOINER = "\x01"
+#: Phrases that are broadcast at most; a larger dictionary is joined by a shuffle.
+BROADCAST_PHRASES = 500_000
 
 
 def name_mappings(names: DataFrame, locale: str, column: str) -> DataFrame:
@@ -49,7 +51,8 @@ def phrases(*mappings: DataFrame) -> DataFrame:
 
 def phrase_hits(docs: DataFrame, dictionary: DataFrame, text_col: str = "text", id_col: str = "doc_id", max_tokens: int | None = None) -> DataFrame:
     """(doc_id, start_char, end_char, key): all hits, nested ones too. max_tokens, if not given, is read from dictionary."""
-    longest = max_tokens or dictionary.agg(F.max("n")).first()[0] or 0
+    size = dictionary.agg(F.max("n").alias("longest"), F.count("*").alias("n")).first()
+    longest = max_tokens or size["longest"] or 0
     toks = tokens(docs, text_col, id_col).withColumn("w", F.lower("token"))
     w = Window.partitionBy(id_col).orderBy("i")
     grams = []
@@ -60,8 +63,10 @@ def phrase_hits(docs: DataFrame, dictionary: DataFrame, text_col: str = "text",
         key = F.concat(key, F.lit(JOINER), F.col(f"_w{k}")) if k else F.col("_w0")
         grams.append(F.struct(key.alias("key"), F.col(f"_e{k}").alias("end_char")))
     hits = toks.select(id_col, "start_char", F.explode(F.array(*grams)).alias("g")).select(id_col, "start_char", "g.end_char", "g.key").where("key is not null and end_char is not null")
-    # Catalyst broadcasts the dictionary while its size allows, else shuffles.
-    return hits.join(dictionary.select("key"), "key").select(id_col, "start_char", "end_char", "key")
+    # The n-grams outgrow any estimate from the texts' files, so neither side's broadcast is left to estimates.
+    keys = dictionary.select("key")
+    keys = F.broadcast(keys) if size["n"] <= BROADCAST_PHRASES else keys.hint("merge")
+    return hits.join(keys, "key").select(id_col, "start_char", "end_char", "key")
 
 
 def gazetteer_mentions(docs: DataFrame, names: DataFrame, locale: str, text_col: str = "text", id_col: str = "doc_id", lemmas: Column | None = None) -> DataFrame:
