@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Cache, ids_of_texts, ragged
+from .chunks import Cache, by_pieces, ids_of_texts, ragged
 from .common import slices
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Bounds of what a worker remembers of pairs and pieces.
-PAIRS, PIECES = 1_000_000, 400_000
+#: Bounds of what a worker remembers.
+PAIRS, PIECES, CHUNKS = 500_000, 200_000, 100_000
+#: Texts that are encoded at once.
+BLOCK_BYTES = 6 << 20
 
 
 class PrefixTable:
@@ -44,6 +46,7 @@ class PrefixTable:
 
     def replace(self, start: int, end: int, new: bytes) -> int:
         """Puts new in place of data[start:end]; returns how many prefixes were computed anew."""
+        start, end = min(start, len(self.data)), min(end, len(self.data))
         old_data, old_last, reach = self.data, self.last, self.vocabulary.longest
         self.data, self.last = old_data[:start] + new + old_data[end:], old_last[:start]
         shift, agreed = len(new) - (end - start), 0
@@ -76,11 +79,10 @@ class Vocabulary:
             self.bytes[i], self.size[i] = token, len(token)
         self.pairs: dict[int, bool] = {}
         self.single: dict[int, bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
         self.flat = np.frombuffer(b"".join(self.bytes), dtype=np.uint8)
         self.lengths = np.array(self.size, dtype=np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.chunks = Cache(lambda keys: [tuple(self.encode(k)) for k in keys])
+        self.chunks = Cache(by_pieces(Cache(self.encode_sorted, PIECES), self.pieces), CHUNKS)
 
     def merged(self, data: bytes) -> list[bytes]:
         """data by the merges themselves; for short data only, to judge pairs."""
@@ -142,12 +144,24 @@ class Vocabulary:
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         for piece in self.pieces(text):
-            found = self.known.get(piece)
-            if found is None:
-                if len(self.known) >= PIECES:
-                    self.known.clear()
-                found = self.known[piece] = self.encode_piece(piece.encode())
-            out += found
+            out += self.encode_piece(piece.encode())
+        return out
+
+    def encode_sorted(self, pieces: list[str]) -> list[bytes]:
+        """Ids of many pieces; in byte order, each keeps the table of the prefix that it shares with the one before."""
+        out, before, last = [b""] * len(pieces), b"", []
+        for data, i in sorted((p.encode(), i) for i, p in enumerate(pieces)):
+            whole = self.ranks.get(data)
+            if whole is not None:
+                ids = [whole]
+            else:
+                shared, most = 0, min(len(before), len(data))
+                while shared < most and before[shared] == data[shared]:
+                    shared += 1
+                del last[shared:]
+                self.extend(data, last)
+                before, ids = data, self.walk(last)
+            out[i] = np.array(ids, dtype="<u4").tobytes()
         return out
 
     def encode_piece(self, data: bytes) -> tuple[int, ...]:
@@ -185,7 +199,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = load(path, pattern)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", BLOCK_BYTES):
             ids = [x.astype("<u4").tobytes() for x in own.encode_batch(part.column("text"))]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
@@ -203,3 +217,17 @@ def decode(tokens: DataFrame, vocabulary: tuple[str, str] | None = None) -> Data
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(out, pa.binary())], names=["doc_id", "ids", "decoded"])
 
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
+
+
+def recoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: tuple[str, str] | None = None) -> DataFrame:
+    """(doc_id, ids, decoded): decode(encode(docs)) in one pass, so that one worker a task holds a vocabulary."""
+    path, pattern = vocabulary or default_vocabulary()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = load(path, pattern)
+        for part in slices(batches, "text", BLOCK_BYTES):
+            ids = own.encode_batch(part.column("text"))
+            columns = [part.column("doc_id"), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array([own.decode(x) for x in ids], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary, decoded binary")

@@ -1,4 +1,4 @@
-"""Token ids of batches of texts by their distinct chunks: a chunk is encoded once a batch and gathered by position."""
+"""Little-endian unsigned 32-bit token ids of batches of texts by their distinct chunks: a chunk is encoded once a batch and gathered by position."""
 
 from __future__ import annotations
 
@@ -18,17 +18,37 @@ def ragged(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, codes: np.
 
 
 class Cache:
-    """What encode() gave for a string; emptied when it holds `most` entries, so that it stays bounded."""
+    """What encode() gave for a string, as bytes, in two generations of at most `most` entries: when the young one is full
+    it becomes the old one, so that frequent strings stay and the rest is forgotten."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterable], most: int = 400_000):
-        self.encode, self.most, self.held = encode, most, {}
+    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], most: int):
+        self.encode, self.most = encode, most
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def many(self, keys: list[str]) -> list:
-        if len(self.held) > self.most:
-            self.held.clear()
-        missing = [k for k in dict.fromkeys(keys) if k not in self.held]
-        self.held.update(zip(missing, self.encode(missing), strict=True))
-        return [self.held[k] for k in keys]
+    def many(self, keys: list[str]) -> list[bytes]:
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        for k in keys:
+            if k not in young and k in old:
+                young[k] = old[k]
+        missing = list(dict.fromkeys([k for k in keys if k not in young]))
+        young.update(zip(missing, self.encode(missing), strict=True))
+        return [young[k] for k in keys]
+
+
+def by_pieces(pieces: Cache, split: Callable[[str], list[str]]) -> Callable[[list[str]], list[bytes]]:
+    """encode() of chunks by their pieces, which repeat more than chunks do."""
+
+    def encode(keys: list[str]) -> list[bytes]:
+        # a space and letters are one piece; so are chunks that split() leaves whole
+        cut = [None if k[1:].isalpha() and k[0] == " " else split(k) for k in keys]
+        flat = [x for k, c in zip(keys, cut, strict=True) for x in ((k,) if c is None else c)]
+        known = iter(pieces.many(flat))
+        return [next(known) if c is None or len(c) == 1 else b"".join([next(known) for _ in c]) for c in cut]
+
+    return encode
 
 
 def ids_of_texts(texts: pa.Array, cache: Cache, whole: Callable[[str], np.ndarray]) -> list[np.ndarray]:
@@ -40,7 +60,7 @@ def ids_of_texts(texts: pa.Array, cache: Cache, whole: Callable[[str], np.ndarra
     bounds, values = bounds - bounds[0], lists.flatten()
     encoded = values.dictionary_encode()
     distinct, codes = encoded.dictionary.to_pylist(), encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    odd = np.fromiter((not u or u[0].isspace() for u in distinct), dtype=bool, count=len(distinct))
+    odd = np.fromiter([not u or u[0].isspace() for u in distinct], dtype=bool, count=len(distinct))
     strange = odd[codes]
     firsts = bounds[:-1]
     strange[firsts] = False
@@ -48,8 +68,8 @@ def ids_of_texts(texts: pa.Array, cache: Cache, whole: Callable[[str], np.ndarra
     heads = [distinct[c] for c in codes[firsts].tolist()]
     ids = cache.many([" " + u for u in distinct]) + cache.many(heads)
     codes[firsts] = len(distinct) + np.arange(len(heads))
-    lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-    flat = np.fromiter((x for t in ids for x in t), dtype=np.uint32, count=int(lengths.sum()))
+    lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+    flat = np.frombuffer(b"".join(ids), dtype="<u4")
     out = ragged(flat, np.cumsum(lengths) - lengths, lengths, codes)
     ends = np.concatenate([[0], np.cumsum(lengths[codes])])[bounds]
     return [whole(texts[i].as_py()) if slow[i] else out[ends[i] : ends[i + 1]] for i in range(len(heads))]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Cache, ids_of_texts
+from .chunks import Cache, by_pieces, ids_of_texts
 from .common import slices
 
 CAPACITY = 1024
@@ -31,6 +31,10 @@ LINEAR, QUADRATIC = 1.0, 1.0 / CAPACITY
 VOCABULARY = "byte_bpe_50k.json"
 #: Sequences that are looked at for one that holds a piece whole.
 TRIES = 4
+#: A block's bounds: texts are packed with those of their block.
+BLOCK_BYTES, BLOCK_ROWS = 12 << 20, 8192
+#: Bounds of what a worker remembers.
+CHUNKS, PIECES = 200_000, 250_000
 #: Characters below this one (Latin letters) belong to the same classes in every Unicode version.
 _PLAIN = "\u0250"
 
@@ -80,27 +84,34 @@ def _tokenizer(path: str) -> tuple[Cache, object]:
     own = Tokenizer.from_file(path)
     own.encode_special_tokens = True
 
-    def encode(keys: list[str]) -> list[tuple[int, ...]]:
-        out: list[tuple[int, ...]] = []
-        for at in range(0, len(keys), 5_000):
-            # One call for many strings, each tokenised by itself as a "word" of the input.
-            part = keys[at : at + 5_000]
-            found = own.encode(part, is_pretokenized=True, add_special_tokens=False)
-            split: list[list[int]] = [[] for _ in part]
-            for i, word in zip(found.ids, found.word_ids, strict=True):
-                split[word].append(i)
-            out += map(tuple, split)
-        return out
-
-    pieces, split_at = Cache(encode), regex.compile(public_tokenizers.PATTERN).findall
-
-    def by_piece(keys: list[str]) -> list[tuple[int, ...]]:
-        # Common letters: cut by the pattern here, as pieces repeat more than chunks. Others: the tokenizer cuts.
-        cut = [split_at(k) if max(k, default="") < _PLAIN else [k] for k in keys]
-        known = dict(zip(flat := list(dict.fromkeys(x for k in cut for x in k)), pieces.many(flat), strict=True))
-        return [known[k[0]] if len(k) == 1 else tuple(i for x in k for i in known[x]) for k in cut]
-
-    return Cache(by_piece), lambda text: np.array(own.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+    line_end = own.encode("\n", add_special_tokens=False).ids[0]
+
+    def encode(keys: list[str]) -> list[bytes]:
+        """One call for many strings: letters (after a space or not) as lines of one text, whose ends are always pieces of
+        their own; anything else as "words" of the input, each tokenised by itself."""
+        found: dict[str, bytes] = {}
+        plain = [k for k in keys if k.isalpha() or k[0] == " " and k[1:].isalpha()]
+        for at in range(0, len(plain), 10_000):
+            part = plain[at : at + 10_000]
+            ids = np.array(own.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(ids == line_end)
+            raw = ids.tobytes()
+            starts, stops = [0, *(4 * ends + 4).tolist()], [*(4 * ends).tolist(), len(raw)]
+            found |= zip(part, [raw[a:b] for a, b in zip(starts, stops, strict=True)], strict=True)
+        other = [k for k in keys if k not in found]
+        for at in range(0, len(other), 5_000):
+            part = other[at : at + 5_000]
+            got = own.encode(part, is_pretokenized=True, add_special_tokens=False)
+            raw = np.array(got.ids, dtype="<u4").tobytes()
+            bounds = (np.searchsorted(np.array(got.word_ids, dtype=np.int64), np.arange(len(part) + 1)) * 4).tolist()
+            found |= zip(part, [raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)], strict=True)
+        return [found[k] for k in keys]
+
+    # Common letters: cut by the pattern here. Others: the tokenizer cuts.
+    cut = regex.compile(public_tokenizers.PATTERN).findall
+    split_at = lambda k: cut(k) if k.isascii() or max(k) < _PLAIN else [k]
+    chunks = Cache(by_pieces(Cache(encode, PIECES), split_at), CHUNKS)
+    return chunks, lambda text: np.array(own.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
 def default_vocabulary() -> str:
@@ -119,7 +130,7 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 
         chunks, whole = _tokenizer(path)
         first = TaskContext.get().partitionId() << 40
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", BLOCK_BYTES, BLOCK_ROWS):
             ids = [np.append(x, np.uint32(end_id)).astype("<u4") for x in ids_of_texts(part.column("text"), chunks, whole)]
             pieces = pack([len(x) for x in ids], capacity)
             doc, start, length, sequence, offset = (np.array(x, dtype=np.int64) for x in zip(*pieces, strict=True))

@@ -24,7 +24,7 @@ def quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def byte_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents")))
+    coded = byte_bpe.recoded(table(spark, sf_dir, "documents"))
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
