@@ -255,7 +255,7 @@ def pipeline_summary(spark, sf):
 
 def expanded_context(spark, sf):
     docs = _docs(spark, sf)
-    out = segment.expanded_context(latin.latin_mentions(docs).where("start_char % 3 = 0"), segment.sentences(docs))
+    out = segment.expanded_context(latin.latin_mentions(docs), segment.sentences(docs))
     return out.select("doc_id", "start_char", "source_text", F.md5("expanded_context").alias("context_md5"))
 
 
