@@ -79,3 +79,10 @@ def test_redaction(spark, odd_docs, no_docs):
     dirty = spark.createDataFrame([(1, "x a@b.com", 9)], "doc_id bigint, text string, n_chars bigint")
     assert pii.redacted(dirty).collect()[0][1:] == ("x [EMAIL]", 9)
     assert len(pii.spans(odd_docs).collect()) == odd_docs.count()
+
+
+def test_long_secret_is_redacted_whole():
+    for value in ("k" * 600, "eyJhbGciOi." * 400, "é" * 5000):
+        text = f"before token={value} after"
+        assert [x[:3] for x in pii.find(text) if x[2] == "secret"] == [(13, 13 + len(value), "secret")]
+        assert pii.redact(text) == "before token=[SECRET] after"
