@@ -85,11 +85,7 @@ def search_variants(spark, sf):
 
 
 def gazetteer_mappings(spark, sf):
-    names = _part_names(spark, sf)
-    m = None
-    for locale in ("Brand#1", "Brand#2", "Brand#3"):
-        own = gazetteer.name_mappings(names, locale, "name_normalized").withColumn("locale", F.lit(locale))
-        m = own if m is None else m.union(own)
+    m = gazetteer.locale_mappings(_part_names(spark, sf), "name_normalized")
     return m.select("locale", "name", F.size("taxon_ids").cast("long").alias("n_ids"), F.get("taxon_ids", F.lit(0)).alias("first_id"), F.array_join("taxon_ids", ",").alias("ids"))
 
 

@@ -13,11 +13,16 @@ JOINER = "\x01"
 BROADCAST_PHRASES = 500_000
 
 
-def name_mappings(names: DataFrame, locale: str, column: str) -> DataFrame:
-    """(name, taxon_ids): ids in table order with duplicates, for one locale; null and empty names are left out."""
-    own = names.where((F.col("locale") == locale) & (F.coalesce(F.col(column), F.lit("")) != ""))
+def locale_mappings(names: DataFrame, column: str) -> DataFrame:
+    """(locale, name, taxon_ids): ids in table order with duplicates, for every locale; null and empty names are left out."""
+    own = names.where(F.coalesce(F.col(column), F.lit("")) != "")
     ids = F.transform(F.array_sort(F.collect_list(F.struct("id", "taxon_id"))), lambda s: s["taxon_id"])
-    return own.groupBy(F.col(column).alias("name")).agg(ids.alias("taxon_ids"))
+    return own.groupBy("locale", F.col(column).alias("name")).agg(ids.alias("taxon_ids"))
+
+
+def name_mappings(names: DataFrame, locale: str, column: str) -> DataFrame:
+    """(name, taxon_ids): locale_mappings() of one locale."""
+    return locale_mappings(names.where(F.col("locale") == locale), column).select("name", "taxon_ids")
 
 
 def preferred_names(names: DataFrame, locale: str) -> DataFrame:
