@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Cache, by_pieces, ids_of_texts, ragged
-from .common import slices
+from .chunks import Memory, by_line, ids_of_texts, ragged
+from .common import give_back, slices
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Bounds of what a worker remembers.
-PAIRS, PIECES, CHUNKS = 500_000, 200_000, 100_000
+PAIRS, PIECES, KNOWN = 500_000, 200_000, 200_000
 #: Texts that are encoded at once.
 BLOCK_BYTES = 6 << 20
 
@@ -82,7 +82,8 @@ class Vocabulary:
         self.flat = np.frombuffer(b"".join(self.bytes), dtype=np.uint8)
         self.lengths = np.array(self.size, dtype=np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.chunks = Cache(by_pieces(Cache(self.encode_sorted, PIECES), self.pieces), CHUNKS)
+        self.known: dict[str, bytes] = {}
+        self.memory = Memory(self.encode_lines, lambda texts: [np.array(self.encode(t), dtype=np.uint32) for t in texts], KNOWN)
 
     def merged(self, data: bytes) -> list[bytes]:
         """data by the merges themselves; for short data only, to judge pairs."""
@@ -164,6 +165,19 @@ class Vocabulary:
             out[i] = np.array(ids, dtype="<u4").tobytes()
         return out
 
+    def encode_lines(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, count for each line); pieces repeat more than lines do and are remembered for themselves."""
+        pieces = self.pieces("\n".join(lines))
+        if len(self.known) > PIECES:
+            self.known = {}
+        missing = [p for p in dict.fromkeys(pieces) if p not in self.known]
+        self.known.update(zip(missing, self.encode_sorted(missing), strict=True))
+        raw = [self.known[p] for p in pieces]
+        sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) // 4
+        ends = np.zeros(int(sizes.sum()), dtype=bool)
+        ends[np.cumsum(sizes)[np.fromiter((p == "\n" for p in pieces), dtype=bool, count=len(pieces))] - 1] = True
+        return by_line(np.frombuffer(b"".join(raw), dtype="<u4"), ends, lines)
+
     def encode_piece(self, data: bytes) -> tuple[int, ...]:
         whole = self.ranks.get(data)
         if whole is not None:
@@ -176,7 +190,8 @@ class Vocabulary:
         return ragged(self.flat, self.starts, self.lengths, ids.astype(np.int64)).tobytes()
 
     def encode_batch(self, texts: pa.Array) -> list[np.ndarray]:
-        return ids_of_texts(texts, self.chunks, lambda t: np.array(self.encode(t), dtype=np.uint32))
+        flat, bounds = ids_of_texts(texts, self.memory)
+        return [flat[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
 @cache
@@ -229,5 +244,6 @@ def recoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
             ids = own.encode_batch(part.column("text"))
             columns = [part.column("doc_id"), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array([own.decode(x) for x in ids], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"])
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary, decoded binary")

@@ -6,6 +6,8 @@ lowest cost with room, by preference one that holds it whole, else cut. A block
 sequences as its remainders fill, and sequences of powers of two for the rest, so nothing is padded at all. Blocks are
 runs of rows within a partition, bounded in bytes and rows: no shuffle, bounded memory, and any hot key is just rows.
 
+Ids are the tokenizer's own, special strings in a text included: they become their special ids, as it does by itself.
+
 Defined results: a null text has the closing id alone, like an empty one; rows with null ids and repeated rows are packed
 like others; an empty table gives no rows; other columns are not read.
 """
@@ -14,16 +16,18 @@ from __future__ import annotations
 
 import heapq
 import os
+import zlib
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Cache, by_pieces, ids_of_texts
-from .common import slices
+from .chunks import Memory, by_line, ids_of_texts
+from .common import give_back, slices
 
 CAPACITY = 1024
 END_ID = 0
@@ -32,11 +36,9 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Sequences that are looked at for one that holds a piece whole.
 TRIES = 4
 #: A block's bounds: texts are packed with those of their block.
-BLOCK_BYTES, BLOCK_ROWS = 12 << 20, 8192
-#: Bounds of what a worker remembers.
-CHUNKS, PIECES = 200_000, 250_000
-#: Characters below this one (Latin letters) belong to the same classes in every Unicode version.
-_PLAIN = "\u0250"
+BLOCK_BYTES, BLOCK_ROWS = 10 << 20, 8192
+#: Units that a worker remembers between blocks, and how many are encoded as one text.
+KNOWN, LINES = 1_000_000, 10_000
 
 
 def pack(sizes: list[int], capacity: int = CAPACITY, linear: float = LINEAR, quadratic: float = QUADRATIC) -> list[tuple[int, int, int, int, int]]:
@@ -74,44 +76,37 @@ def pack(sizes: list[int], capacity: int = CAPACITY, linear: float = LINEAR, qua
 
 
 @cache
-def _tokenizer(path: str) -> tuple[Cache, object]:
-    """The tokenizer of a file, its special strings taken as ordinary text; once a worker."""
+def _tokenizer(path: str) -> tuple[Memory, object, tuple[str, ...]]:
+    """The memory over a tokenizer file, its encoding of whole texts, and its special strings; once a worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    import public_tokenizers
-    import regex
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
-
-    line_end = own.encode("\n", add_special_tokens=False).ids[0]
-
-    def encode(keys: list[str]) -> list[bytes]:
-        """One call for many strings: letters (after a space or not) as lines of one text, whose ends are always pieces of
-        their own; anything else as "words" of the input, each tokenised by itself."""
-        found: dict[str, bytes] = {}
-        plain = [k for k in keys if k.isalpha() or k[0] == " " and k[1:].isalpha()]
-        for at in range(0, len(plain), 10_000):
-            part = plain[at : at + 10_000]
-            ids = np.array(own.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.flatnonzero(ids == line_end)
-            raw = ids.tobytes()
-            starts, stops = [0, *(4 * ends + 4).tolist()], [*(4 * ends).tolist(), len(raw)]
-            found |= zip(part, [raw[a:b] for a, b in zip(starts, stops, strict=True)], strict=True)
-        other = [k for k in keys if k not in found]
-        for at in range(0, len(other), 5_000):
-            part = other[at : at + 5_000]
-            got = own.encode(part, is_pretokenized=True, add_special_tokens=False)
-            raw = np.array(got.ids, dtype="<u4").tobytes()
-            bounds = (np.searchsorted(np.array(got.word_ids, dtype=np.int64), np.arange(len(part) + 1)) * 4).tolist()
-            found |= zip(part, [raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)], strict=True)
-        return [found[k] for k in keys]
-
-    # Common letters: cut by the pattern here. Others: the tokenizer cuts.
-    cut = regex.compile(public_tokenizers.PATTERN).findall
-    split_at = lambda k: cut(k) if k.isascii() or max(k) < _PLAIN else [k]
-    chunks = Cache(by_pieces(Cache(encode, PIECES), split_at), CHUNKS)
-    return chunks, lambda text: np.array(own.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+    ids_of = lambda texts: [np.array(x.ids, dtype=np.uint32) for x in own.encode_batch_fast(texts, add_special_tokens=False)]
+    line_end = int(ids_of(["\n"])[0][0])
+
+    def encode(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts = [lines[at : at + LINES] for at in range(0, len(lines), LINES)]
+        found = [by_line(ids, ids == line_end, part) for part in parts for ids in ids_of(["\n".join(part)])]
+        return np.concatenate([x for x, _ in found]), np.concatenate([n for _, n in found])
+
+    return Memory(encode, ids_of, KNOWN), ids_of, tuple(sorted(t.content for t in own.get_added_tokens_decoder().values()))
+
+
+def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids end to end, bounds) of texts, as the tokenizer itself encodes them, its special strings included."""
+    memory, whole, special = _tokenizer(path)
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    strange = np.zeros(len(texts), dtype=bool)
+    for s in special:
+        strange |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+    if not strange.any():
+        return ids_of_texts(texts, memory)
+    flat, bounds = ids_of_texts(pc.if_else(pa.array(strange), "", texts), memory)
+    own = [flat[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+    for i, ids in zip(np.flatnonzero(strange), whole(texts.filter(pa.array(strange)).to_pylist()), strict=True):
+        own[i] = ids
+    return np.concatenate(own), np.cumsum([0, *map(len, own)])
 
 
 def default_vocabulary() -> str:
@@ -120,26 +115,31 @@ def default_vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
-def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """A row for each piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
+def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, digest: bool = False) -> DataFrame:
+    """A row for each piece: doc_id, start, length, ids (little-endian unsigned 32-bit; with digest their CRC-32 as
+    ids_crc32 instead), doc_tokens, sequence_id, offset."""
     path = vocabulary or default_vocabulary()
-    schema = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+    what = "ids_crc32" if digest else "ids"
+    schema = f"doc_id long, start long, length long, {what} {'long' if digest else 'binary'}, doc_tokens long, sequence_id long, offset long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        chunks, whole = _tokenizer(path)
         first = TaskContext.get().partitionId() << 40
         for part in slices(batches, "text", BLOCK_BYTES, BLOCK_ROWS):
-            ids = [np.append(x, np.uint32(end_id)).astype("<u4") for x in ids_of_texts(part.column("text"), chunks, whole)]
-            pieces = pack([len(x) for x in ids], capacity)
-            doc, start, length, sequence, offset = (np.array(x, dtype=np.int64) for x in zip(*pieces, strict=True))
-            raw = [ids[d][s : s + n].tobytes() for d, s, n, _, _ in pieces]
-            sizes = np.array([len(x) for x in ids], dtype=np.int64)
+            flat, bounds = token_ids(part.column("text"), path)
+            flat = np.insert(flat, bounds[1:], end_id).astype("<u4", copy=False)
+            bounds = bounds + np.arange(len(bounds))
+            sizes = np.diff(bounds)
+            doc, start, length, sequence, offset = (np.array(x, dtype=np.int64) for x in zip(*pack(sizes.tolist(), capacity), strict=True))
+            raw, at = memoryview(flat).cast("B"), 4 * (bounds[doc] + start)
+            cuts = [raw[a:b] for a, b in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
+            shown = pa.array([zlib.crc32(x) for x in cuts], pa.int64()) if digest else pa.array([bytes(x) for x in cuts], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(raw, pa.binary()), pa.array(sizes[doc]), pa.array(first + sequence), pa.array(offset)],
-                names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
+                [part.column("doc_id").take(pa.array(doc)), pa.array(start), pa.array(length), shown, pa.array(sizes[doc]), pa.array(first + sequence), pa.array(offset)],
+                names=["doc_id", "start", "length", what, "doc_tokens", "sequence_id", "offset"],
             )
             first += int(sequence.max()) + 1
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)

@@ -41,7 +41,7 @@ def url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents")).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return packing.packed(table(spark, sf_dir, "documents"), digest=True)
 
 
 def quality_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,13 @@
 import binascii
 
 import numpy as np
+import pyarrow as pa
 from binomia.llm import packing, registry
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 TOKENIZER = Tokenizer.from_file(packing.default_vocabulary())
-TOKENIZER.encode_special_tokens = True
 
 
 @settings(max_examples=200, deadline=None)
@@ -67,3 +67,22 @@ def test_edges(spark, odd_docs, no_docs):
 
     check(odd_docs.collect(), packing.packed(odd_docs).withColumn("ids_crc32", F.crc32("ids")).collect())
     assert packing.packed(no_docs).collect() == []
+
+
+BITS = ["a", "B", "word", " ", "  ", "\n", "\n\n", "\n\n\n", "\t", "\u00a0", "\u3000", "\u00e9", "1", "23", "'s", ".", ",", "<|endoftext|>", "<|", "\U0001f600", "\u4e2d", "\r\n", "\x1c", "\x85", "\u200b"]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(BITS), max_size=30).map("".join), max_size=20))
+def test_ids_are_the_tokenizers(texts):
+    """White space of all kinds and the special string, against the tokenizer as it comes from its file."""
+    flat, bounds = packing.token_ids(pa.array(texts, pa.string()), packing.default_vocabulary())
+    for i, text in enumerate(texts):
+        assert flat[bounds[i] : bounds[i + 1]].tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
+def test_special_strings(spark):
+    rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|>" * 3), (3, "none")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert 50256 in TOKENIZER.encode(rows[0][1], add_special_tokens=False).ids
+    check(docs.collect(), packing.packed(docs, digest=True).collect())
