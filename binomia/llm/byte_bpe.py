@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import Memory, by_line, ids_of_texts, ragged
-from .common import give_back, slices
+from .common import slices
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Bounds of what a worker remembers.
@@ -218,7 +218,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
             ids = [x.astype("<u4").tobytes() for x in own.encode_batch(part.column("text"))]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return mapped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, ids binary")
 
 
 def decode(tokens: DataFrame, vocabulary: tuple[str, str] | None = None) -> DataFrame:
@@ -231,7 +231,7 @@ def decode(tokens: DataFrame, vocabulary: tuple[str, str] | None = None) -> Data
             out = [own.decode(np.frombuffer(x or b"", dtype="<u4")) for x in part.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(out, pa.binary())], names=["doc_id", "ids", "decoded"])
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
+    return mapped(tokens.select("doc_id", "ids"), run, "doc_id long, ids binary, decoded binary")
 
 
 def recoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: tuple[str, str] | None = None) -> DataFrame:
@@ -244,6 +244,5 @@ def recoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
             ids = own.encode_batch(part.column("text"))
             columns = [part.column("doc_id"), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array([own.decode(x) for x in ids], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"])
-        give_back()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary, decoded binary")
+    return mapped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, ids binary, decoded binary")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import Memory, by_line, ids_of_texts
-from .common import give_back, slices
+from .common import slices
 
 CAPACITY = 1024
 END_ID = 0
@@ -140,6 +140,5 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
                 names=["doc_id", "start", "length", what, "doc_tokens", "sequence_id", "offset"],
             )
             first += int(sequence.max()) + 1
-        give_back()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return mapped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, schema)

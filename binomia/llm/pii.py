@@ -119,7 +119,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, _SPANS)], names=["doc_id", "spans"])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:bigint,end:bigint,score:double>>")
+    return mapped(own, run, "doc_id long, spans array<struct<kind:string,start:bigint,end:bigint,score:double>>")
 
 
 def redact(text: str) -> str:

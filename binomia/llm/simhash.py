@@ -6,8 +6,7 @@ non-zero vector) make every such pair agree under some mask, so candidates lose
 fingerprints are compared pair by pair; the fingerprints of larger ones meet in the one-bit neighbours they share,
 which links exactly the pairs within two bits at 65 rows a fingerprint, however large the group is.
 
-Only distinct fingerprints take part, so exact copies cost one row; components come from minimum labels and pointer
-jumping over written tables.
+Only distinct fingerprints take part, so exact copies cost one row; components come from graph.py.
 
 Defined results: a null text has no words, like an empty one; texts without words have fingerprint zero and link as
 any other; rows with a null id are returned and take the smallest id of their component, null if it has none; repeated
@@ -16,7 +15,7 @@ rows give repeated result rows; an empty table gives no rows. Other columns of t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -25,7 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, dropped, slices, written
+from .common import as_bytes, slices, unused_name, written
+from .graph import components
 
 SHINGLE_WORDS = 3
 RADIUS = 2
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = [fingerprint(raw or b"", shingle_words) for raw in as_bytes(part.column("text"))]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return mapped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, fp long")
 
 
 def _signed(x: int) -> int:
@@ -116,43 +116,67 @@ def links(fps: DataFrame, radius: int = RADIUS, pairwise: int = PAIRWISE) -> Dat
     return near.unionByName(star).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(node, label): the smallest node of each node's component, by minimum labels and pointer jumping."""
-    both = written(edges.select("u", "v").union(edges.select("v", "u")), "simhash-edges")
-    labels = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")), "simhash-labels")
-    for _ in range(max_rounds):
-        heard = both.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("heard"))
-        told = written(labels.join(heard, "u").select("u", F.col("label").alias("old"), F.least("label", "heard").alias("label")), "simhash-told")
-        jumped = told.join(told.select(F.col("u").alias("at"), F.col("label").alias("next")), F.col("label") == F.col("at"))
-        new = written(jumped.select("u", "old", F.least("label", "next").alias("label")), "simhash-labels")
-        moved = new.where("label < old").limit(1).count()
-        dropped(told)
-        dropped(labels)
-        labels = new
-        if not moved:
-            dropped(both)
-            return labels.select(F.col("u").alias("node"), "label")
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+def labelled(own: DataFrame, edges: DataFrame) -> DataFrame:
+    """(fp, first, root) for each distinct fp of own (doc_id, fp): its smallest id, and what its component is known by."""
+    each = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    found = components(edges)
+    return written(each.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("label", "fp").alias("root")), "simhash-labelled")
+
+
+def with_component(own: DataFrame, groups: DataFrame) -> DataFrame:
+    """own (doc_id, fp) with component_id, the smallest id of its component in groups (of labelled())."""
+    least = groups.groupBy("root").agg(F.min("first").alias("component_id"))
+    ids = written(groups.select("fp", "root").join(least, "root").select("fp", "component_id"), "simhash-ids")
+    return own.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs."""
     own = written(fingerprints(docs, id_col, text_col, shingle_words), "simhash-fps")
-    each = written(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    found = components(links(each.select("fp"), radius))
-    linked = written(found.join(each, F.col("node") == F.col("fp")).select("fp", "label", "first"), "simhash-linked")
-    least = linked.groupBy("label").agg(F.min("first").alias("least"))
-    grouped = linked.join(least, "label").select("fp", "least")
-    ids = written(each.join(grouped, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "simhash-ids")
-    return own.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = with_component(own, labelled(own, links(own.select("fp").distinct(), radius)))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the near copies: of each component the row with its smallest id stays.
+def first_rows(docs: DataFrame, own: DataFrame, groups: DataFrame, id_col: str, fingerprint: Callable[[bytes], int], text_col: str) -> DataFrame:
+    """docs without the rows that are not the first of their component. own: (doc_id, fp) of docs; groups: of labelled();
+    fingerprint(): the fp of a text.
 
-    Rows without an id cannot stand for a group and all stay; of rows that repeat an id one stays.
+    First is the smallest id, then the smallest fp. Where no id repeats, the rows that go leave by their ids alone; rows
+    whose id repeats are told apart by their texts' fp, and of those that agree in both one stays (least by a hash of
+    all columns). Rows without an id stay.
     """
-    names = docs.columns
-    stays = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("__stays")).distinct()
-    one = docs.join(stays, F.col(id_col) == F.col("__stays")).select(*[docs[c] for c in names]).dropDuplicates([id_col])
-    return one.unionByName(docs.where(F.col(id_col).isNull()))
+    mark = unused_name("_fp", docs.columns)
+    firsts = groups.where("first is not null").groupBy("root").agg(F.min(F.struct("first", "fp")).alias("f")).select(F.col("f.first").alias("doc_id"), F.col("f.fp").alias("fp"))
+    firsts = written(firsts, "simhash-firsts")
+    repeated = written(own.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "simhash-repeated")
+    own_id = F.col(id_col).cast("long")
+    goes = own.where("doc_id is not null").select("doc_id").join(firsts.select("doc_id"), "doc_id", "left_anti")
+    if repeated.isEmpty():
+        leave = goes.select(F.col("doc_id").alias(mark))
+        return docs.join(leave, own_id == F.col(mark), "left_anti")
+    leave = goes.unionAll(repeated).distinct().select(F.col("doc_id").alias(mark))
+    kept = docs.join(leave, own_id == F.col(mark), "left_anti")
+
+    @F.pandas_udf("long")
+    def fp_of(texts):
+        return texts.map(lambda t: _signed(fingerprint((t or "").encode()))).astype("int64")
+
+    again = docs.join(repeated.select(F.col("doc_id").alias(mark)), own_id == F.col(mark), "left_semi").withColumn(mark, fp_of(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    one = again.join(firsts.select(F.col("doc_id").alias("_id"), F.col("fp").alias("_f")), (own_id == F.col("_id")) & (F.col(mark) == F.col("_f"))).select(*[again[c] for c in docs.columns], F.struct("_id", "_f").alias(mark))
+    hashed = F.xxhash64(*[F.to_json(F.struct(F.col(c))) for c in docs.columns])
+    least = one.groupBy(mark).agg(F.min_by(F.struct(*docs.columns), hashed).alias("r"))
+    return kept.unionByName(least.select("r.*"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
+    """docs without the near copies: of each component the row with its smallest id stays (see first_rows()).
+
+    Components are those of near_duplicates(); with a similarity, those of texts whose five-word shingles have at least
+    this Jaccard similarity, which two bits of a fingerprint are too few for (see near_copies.py).
+    """
+    if similarity is not None:
+        from .near_copies import keep_first
+
+        return keep_first(docs, id_col, text_col, similarity)
+    own = written(fingerprints(docs, id_col, text_col), "simhash-fps")
+    return first_rows(docs, own, labelled(own, links(own.select("fp").distinct())), id_col, fingerprint, text_col)

@@ -3,7 +3,7 @@ import re
 
 import pytest
 import xxhash
-from binomia.llm import simhash
+from binomia.llm import graph, simhash
 
 
 def brute_fingerprint(text):
@@ -89,8 +89,46 @@ def test_long_chain(spark):
     assert {r.label for r in simhash.components(edges).collect()} == {0}
 
 
+def test_long_chain_of_shuffled_values(spark, monkeypatch):
+    """Values as fingerprints are, in no order along the chain; rounds are logarithmic in its length."""
+    r, turns = random.Random(4), []
+    ids = [r.getrandbits(64) - 2**63 for _ in range(5000)]
+    one = graph._contracted
+    monkeypatch.setattr(graph, "_contracted", lambda *a: turns.append(a) or one(*a))
+    got = graph.components(spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "u bigint, v bigint")).collect()
+    assert len(got) == 5000 and {x.label for x in got} == {min(ids)} and len(turns) <= 25
+
+
+def test_shapes_against_brute_force(spark):
+    """Stars, rings, cliques and single links, with values in no order, repeated and reversed links, loops and nulls."""
+    r = random.Random(6)
+    edges = []
+    for size in (2, 3, 40, 90):
+        for shape in ("star", "ring", "clique"):
+            n = [r.getrandbits(62) for _ in range(min(size, 12) if shape == "clique" else size)]
+            edges += {"star": [(n[0], x) for x in n[1:]], "ring": list(zip(n, n[1:] + n[:1], strict=True)), "clique": [(a, b) for a in n for b in n if a < b]}[shape]
+    edges += [(b, a) for a, b in edges[::3]] + edges[::5] + [(7, 7), (None, 3), (4, None)]
+    label = {}
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            x, y = label.get(a, a), label.get(b, b)
+            label |= {k: min(x, y) for k in {a, b, *(k for k, v in label.items() if v in (x, y))}}
+    got = {x.node: x.label for x in graph.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
+    assert got == label
+    assert graph.components(spark.createDataFrame([], "u bigint, v bigint")).collect() == []
+
+
 def test_keep_first(odd_docs):
     kept = simhash.keep_first(odd_docs)
     assert kept.columns == odd_docs.columns
     ids = [r.doc_id for r in kept.collect()]
     assert sorted(i for i in ids if i is not None) == [1, 2, 5, 7, 8, 9, 10] and ids.count(None) == 2
+
+
+@pytest.mark.parametrize("similarity", [None, 0.8])
+def test_keep_first_where_ids_repeat(spark, similarity):
+    """Different texts of one id are documents of their own; a copy under a larger id goes, and so does a repeated row."""
+    a, b = " ".join(f"one{i}" for i in range(60)), " ".join(f"two{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, a, "x"), (1, b, "x"), (2, b, "y"), (1, a, "x"), (3, a, "z"), (4, "own words here", "z"), (None, a, "n")], "doc_id bigint, text string, _fp string")
+    got = sorted(map(tuple, simhash.keep_first(docs, similarity=similarity).collect()), key=str)
+    assert got == sorted([(1, a, "x"), (1, b, "x"), (4, "own words here", "z"), (None, a, "n")], key=str)
