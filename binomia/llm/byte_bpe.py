@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import Memory, by_line, ids_of_texts, ragged
-from .common import slices
+from .common import mapped, slices
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Bounds of what a worker remembers.

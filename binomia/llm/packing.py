@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import Memory, by_line, ids_of_texts
-from .common import slices
+from .common import mapped, slices
 
 CAPACITY = 1024
 END_ID = 0

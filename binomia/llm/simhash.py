@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices, unused_name, written
+from .common import as_bytes, mapped, slices, unused_name, written
 from .graph import components
 
 SHINGLE_WORDS = 3
