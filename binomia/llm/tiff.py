@@ -6,8 +6,9 @@ writes each text's bytes, filled up with 255 to whole lines, as a one-page 8-bit
 horizontal predictor. Strips bound what is decoded at once; a page's samples must fit a worker.
 
 Defined results: a null text is stored like an empty one, as one line of 255; rows with null ids and repeated rows are
-handled like others; an empty table gives no rows; a null or broken image gives one row with its error and no samples;
-other columns are not read.
+handled like others; an empty table gives no rows; a null or broken image gives one row with its error and no samples,
+after the pages before the fault, and so does a page that claims more bytes than its file or a Spark value (MAX_PAGE_BYTES) can
+hold; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices
+from .common import BATCH_BYTES, as_bytes, slices
 
 WIDTH = 576
 STRIP_BYTES = 64 * 1024
@@ -37,9 +38,10 @@ TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_SIZES = 322, 323, 324, 325
 # -- codecs ------------------------------------------------------------------------------------------------------------
 
 
-def unpackbits(data: bytes) -> bytes:
+def unpackbits(data: bytes, need: int | None = None) -> bytes:
+    """The decoded bytes; with need, decoding ends once there are so many."""
     out, i, n = bytearray(), 0, len(data)
-    while i < n:
+    while i < n and (need is None or len(out) < need):
         head = data[i]
         i += 1
         if head < 128:
@@ -69,8 +71,9 @@ def packbits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def unlzw(data: bytes) -> bytes:
-    """The format's LZW: most significant bit first, codes widen one early, 256 clears, 257 ends."""
+def unlzw(data: bytes, need: int | None = None) -> bytes:
+    """The format's LZW: most significant bit first, codes widen one early, 256 clears, 257 ends. With need, decoding ends
+    once there are so many bytes."""
     out = bytearray()
     table: list[bytes] = []
     before, held, bits, width = b"", 0, 0, 9
@@ -95,6 +98,8 @@ def unlzw(data: bytes) -> bytes:
         else:
             raise ValueError("a wrong LZW code")
         out += entry
+        if need is not None and len(out) >= need:
+            break
         if before:
             table.append(before + entry[:1])
         before = entry
@@ -142,15 +147,24 @@ def lzw(data: bytes) -> bytes:
     return bytes(out)
 
 
-def _decoded(data: bytes, compression: int) -> bytes:
+#: Bytes that one stored byte can stand for at most: what a page claims beyond that cannot be there.
+_GAIN = {NONE: 1, PACKBITS: 64, LZW: 2600, DEFLATE: 1040, OLD_DEFLATE: 1040}
+#: Decoded bytes of a page; Spark holds no value of 2 GB.
+MAX_PAGE_BYTES = 1 << 30
+#: What a page's decoding may raise on broken files.
+_BROKEN = (ValueError, TypeError, KeyError, IndexError, ArithmeticError, MemoryError, struct.error, zlib.error)
+
+
+def _decoded(data: bytes, compression: int, need: int) -> bytes:
+    """The first need bytes or more; a compressed part that holds more is not blown up beyond what decoding needs."""
     if compression == NONE:
         return data
     if compression == PACKBITS:
-        return unpackbits(data)
+        return unpackbits(data, need)
     if compression == LZW:
-        return unlzw(data)
+        return unlzw(data, need)
     if compression in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, max(1, need))
     raise ValueError(f"compression {compression} is not read")
 
 
@@ -207,12 +221,22 @@ def samples(data: bytes, fields: dict[int, tuple]) -> np.ndarray:
     bits, compression, predictor, planes = bits[0], one(COMPRESSION, NONE), one(PREDICTOR, 1), depth if one(PLANAR, 1) == 2 else 1
     if predictor not in (1, 2):
         raise ValueError(f"predictor {predictor} is not read")
+    if compression not in _GAIN:
+        raise ValueError(f"compression {compression} is not read")
+    if depth < 1 or any(f in fields and not fields[f][0] for f in (TILE_WIDTH, TILE_HEIGHT, ROWS_PER_STRIP)):
+        raise ValueError("samples, strips or tiles of no size")
     per = depth // planes
     tiled = TILE_OFFSETS in fields
     if tiled:
         part_w, part_h, offsets, sizes = one(TILE_WIDTH), one(TILE_HEIGHT), fields[TILE_OFFSETS], fields[TILE_SIZES]
     else:
         part_w, part_h, offsets, sizes = width, min(one(ROWS_PER_STRIP, height), height), fields[STRIP_OFFSETS], fields[STRIP_SIZES]
+    if not part_w or not part_h:
+        raise ValueError("tiles without size")
+    # A tile is filled up at the edges: it may hold more samples than its page.
+    claimed, held = max(height, part_h) * max(width, part_w) * depth * max(bits, 8) // 8, sum(sizes)
+    if claimed > MAX_PAGE_BYTES or height * width * depth * bits // 8 > _GAIN[compression] * held + 64:
+        raise ValueError("a page of more bytes than the file or a row can hold")
     across, down = -(-width // part_w), -(-height // part_h)
     if len(offsets) != across * down * planes or len(sizes) != len(offsets):
         raise ValueError("the strips or tiles do not cover the page")
@@ -224,8 +248,8 @@ def samples(data: bytes, fields: dict[int, tuple]) -> np.ndarray:
         plane, rest = divmod(k, across * down)
         y, x = rest // across * part_h, rest % across * part_w
         rows = part_h if tiled else min(part_h, height - y)
-        raw = _decoded(data[at : at + size], compression)
         line = -(-part_w * per * bits // 8)
+        raw = _decoded(data[at : at + size], compression, rows * line)
         if len(raw) < rows * line:
             raise ValueError("a strip or tile is too short")
         block = np.frombuffer(raw, dtype=np.uint8, count=rows * line).reshape(rows, line)
@@ -330,24 +354,36 @@ def read_pages(images: DataFrame, media_col: str = "media") -> DataFrame:
 
     extra = StructType.fromDDL(_PAGES)
 
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string()]
+
+    def decoded(media: bytes) -> Iterator[tuple]:
+        k = -1
+        try:
+            for k, fields in enumerate(directories(media)):
+                page = samples(media, fields)
+                yield k, page.shape[1], page.shape[0], page.shape[2], page.tobytes(), feature(page), None
+            if k < 0:
+                raise ValueError("no page")
+        except _BROKEN as e:
+            yield k + 1, None, None, None, None, None, str(e) or type(e).__name__
+
+    def batch(part: pa.RecordBatch, source: list[int], rows: list[tuple]) -> pa.RecordBatch:
+        own = part.take(pa.array(source, pa.int64()))
+        added = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([*own.columns, *added], names=[*own.schema.names, *extra.names])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, media_col):
-            source, rows = [], []
-            for i, media in enumerate(part.column(media_col).to_pylist()):
-                k = -1
-                try:
-                    for k, fields in enumerate(directories(media or b"")):
-                        page = samples(media, fields)
-                        source.append(i)
-                        rows.append((k, page.shape[1], page.shape[0], page.shape[2], page.tobytes(), feature(page), None))
-                    if k < 0:
-                        raise ValueError("no page")
-                except (ValueError, struct.error, zlib.error, KeyError) as e:
+            source, rows, held = [], [], 0
+            for i in range(part.num_rows):
+                for row in decoded(part.column(media_col)[i].as_py() or b""):
+                    if rows and held + len(row[4] or b"") > BATCH_BYTES:
+                        yield batch(part, source, rows)
+                        source, rows, held = [], [], 0
                     source.append(i)
-                    rows.append((k + 1, None, None, None, None, None, str(e)))
-            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string()]
-            added = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-            own = part.take(pa.array(source, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*own.columns, *added], names=[*own.schema.names, *extra.names])
+                    rows.append(row)
+                    held += len(row[4] or b"")
+            if rows:
+                yield batch(part, source, rows)
 
     return images.mapInArrow(run, StructType([*images.schema.fields, *extra.fields]))

@@ -82,3 +82,26 @@ def test_query(spark, odd_docs, no_docs, tmp_path):
     assert sorted(map(str, want)) == sorted(str((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32)) for r in got)
     assert len({r.media_sha256 for r in got}) == len({r.payload_sha256 for r in got}) == len({r.feature for r in got})
     assert tiff.read_pages(tiff.stored(no_docs)).collect() == []
+
+
+def test_absurd_sizes_give_errors(spark):
+    """Sizes of nothing, missing tile sizes, huge pages, and a small stored part that decodes to much: an error row each."""
+    base = [(256, 4, 10), (257, 4, 2), (258, 3, 8), (259, 3, 1), (273, 4, 8), (277, 3, 1), (278, 4, 2), (279, 4, 20), (284, 3, 1)]
+    with_ = lambda **new: [(t, k, new.get(f"t{t}", v)) for t, k, v in base]
+    tiles = [(256, 4, 10), (257, 4, 2), (258, 3, 8), (259, 3, 1), (324, 4, 8), (325, 4, 20)]
+    fields = [with_(t278=0), with_(t277=0, t284=2), with_(t256=0), with_(t256=2**31, t257=2**31), with_(t256=40_000, t257=20_000, t278=20_000), with_(t259=9), tiles, [*tiles[:4], (322, 4, 0), (323, 4, 0), *tiles[4:]]]
+    bomb = zlib.compress(b"\0" * (64 << 20))
+    rows = [(i, raw_tiff(f, b"x" * 20)) for i, f in enumerate(fields)]
+    good = raw_tiff(base, b"x" * 20)
+    small = raw_tiff([(256, 4, 10), (257, 4, 2), (258, 3, 8), (259, 3, 8), (273, 4, 8), (278, 4, 2), (279, 4, len(bomb))], bomb)
+    rows += [(100, good), (101, small)]
+    got = {r.doc_id: r for r in tiff.read_pages(spark.createDataFrame([(i, bytearray(m)) for i, m in rows], "doc_id bigint, media binary")).collect()}
+    assert len(got) == len(rows) and all(got[i].error and got[i].samples is None for i in range(len(fields)))
+    assert got[100].samples == b"x" * 20 and got[101].samples == b"\0" * 20
+
+
+def test_many_pages_of_one_file(spark):
+    """Pages that hold much more than their file come in several batches, in order."""
+    pages = [np.full((3000, 2000, 1), i, np.uint8) for i in range(8)]
+    got = tiff.read_pages(spark.createDataFrame([(1, bytearray(tiff.write(pages)))], "doc_id bigint, media binary")).select("page_index", "width", "height", "feature").collect()
+    assert [(r.page_index, r.width, r.height) for r in got] == [(i, 2000, 3000) for i in range(8)]
