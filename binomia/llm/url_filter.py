@@ -22,25 +22,42 @@ from pyspark.sql import functions as F
 from .common import slices
 
 RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
-DIMENSIONS = 1 << 15
+DIMENSIONS = 1 << 17
 NGRAMS = (3, 4, 5)
-THRESHOLD = 0.5
+#: Blocks two in a hundred good words that a five-fold split of the labelled table holds out.
+THRESHOLD = 0.6
 MAX_TRAIN = 20_000
 EPOCHS, RATE, PENALTY = 300, 1.0, 1e-4
 
-# The small labelled table: made names, hosts of the kind that link farms and shops for pills and games use, and plain ones.
-BAD_WORDS = ("spam-farm", "cheap-pills", "casino-bonus", "win-prize", "free-loans", "adult-cams", "click-bait", "fake-watches", "crypto-double", "hot-singles", "adult-x", "ads-track", "casino-win", "buy-followers", "essay-mill")
-GOOD_WORDS = ("library", "gazette", "museum", "garden", "weather", "school", "journal", "atlas", "kitchen", "orchard", "ththnd", "tionble", "therat", "thering", "ththan", "thernd", "history", "science", "village", "council")
+# The small labelled table's words, general vocabulary of sites of unwanted kinds and of others. No host
+# of the test tables is among them, though kinds such as casino or adult are parts of hosts there.
+BAD_WORDS = (
+    "casino", "poker", "roulette", "slots", "jackpot", "betting", "gamble", "lottery", "sweepstakes", "winner", "prize", "bonus",
+    "pills", "pharmacy-online", "viagra", "cialis", "weightloss", "diet-pill", "steroids", "adult", "porn", "xxx", "sexcam", "escort", "hot-singles", "hookup", "nude",
+    "payday", "fast-loan", "easy-money", "get-rich", "crypto-double", "forex-signals", "cheap", "replica-watch", "fake-id", "discount-bags", "outlet-sale",
+    "spam", "link-farm", "linkfarm", "seo-backlinks", "clickbait", "traffic-bot", "buy-followers", "adserver", "ads", "popup", "banner", "tracker", "tracking", "telemetry", "doubleclick",
+    "warez", "torrent", "crack-serial", "keygen", "malware", "phishing", "free-download", "essay-mill",
+)
+GOOD_WORDS = (
+    "library", "gazette", "museum", "garden", "weather", "school", "journal", "atlas", "kitchen", "orchard", "history", "science", "village", "council", "university", "river",
+    "hospital", "theatre", "railway", "harbour", "mountain", "forest", "bakery", "bicycle", "architecture", "philosophy", "mathematics", "physics", "chemistry", "biology", "botany",
+    "archive", "institute", "society", "community", "parish", "letters", "bulletin", "review", "chronicle", "herald", "tribune", "observer", "courier", "handbook", "manual",
+    "stadt", "zeitung", "schule", "verein", "wissenschaft", "garten", "bibliothek", "nachrichten", "wetter", "gemeinde", "hochschule", "handwerk", "wanderung", "geschichte",
+    "mairie", "journalisme", "jardin", "recherche", "bibliotheque", "montagne", "cuisine", "voyage", "ecole", "musique", "quotidien", "nouvelles", "patrimoine", "lecture",
+    "ciudad", "escuela", "noticias", "ayuntamiento", "biblioteca", "ciencia", "historia", "jardines", "cocina", "viajes", "salud", "cultura", "periodico", "montes",
+    "software", "developers", "notes", "wiki", "forum", "photo", "travel", "recipes", "sports", "football", "cinema", "concert", "painting", "craft", "farming", "cheese", "wine",
+)
+PARTS = ("online", "one", "center", "net", "world")
 PREFIXES = ("", "www.", "m.", "blog.")
 ENDINGS = ("example.org", "example.com", "example.net")
 PATHS = ("/en/17", "/de/204.html", "/fr/88/", "/es/731", "/about", "/")
 
 
-def labelled_urls() -> list[tuple[str, int]]:
-    """(url, 1 for bad)."""
+def labelled_urls(bad_words: tuple[str, ...] = BAD_WORDS, good_words: tuple[str, ...] = GOOD_WORDS) -> list[tuple[str, int]]:
+    """(url, 1 for bad): each word alone and beside a neutral part."""
     out = []
-    for bad, words in ((1, BAD_WORDS), (0, GOOD_WORDS)):
-        for i, w in enumerate(words):
+    for bad, words in ((1, bad_words), (0, good_words)):
+        for i, w in enumerate(w for word in words for w in (word, f"{word}-{PARTS[len(word) % len(PARTS)]}")):
             for j, p in enumerate(PREFIXES):
                 out.append((f"https://{p}{w}.{ENDINGS[(i + j) % len(ENDINGS)]}{PATHS[(i + 2 * j) % len(PATHS)]}", bad))
     return out
@@ -79,7 +96,7 @@ def train(rows: list[tuple[str, int]], dimensions: int = DIMENSIONS) -> tuple[np
     flat, owner = np.concatenate(feats), np.repeat(np.arange(len(rows)), [len(x) for x in feats])
     scale = 1 / np.sqrt(sizes)
     y, w, b = np.array([l for _, l in rows], dtype=np.float64), np.zeros(dimensions), 0.0
-    balance = np.where(y == 1, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, (1 - y).sum()))
+    balance = 1 / len(rows)  # unwanted sites are the rarer ones: a host that tells nothing is allowed
     for _ in range(EPOCHS):
         z = np.bincount(owner, weights=w[flat], minlength=len(rows)) * scale + b
         g = (1 / (1 + np.exp(-z)) - y) * balance

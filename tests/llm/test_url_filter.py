@@ -1,3 +1,5 @@
+import random
+
 from binomia.llm import url_filter as U
 
 RULES = U.RULES
@@ -28,19 +30,43 @@ def test_rules_and_parts(spark):
     assert got[16].verdict == "allow"
 
 
-def test_model_on_held_out_hosts(spark):
-    """Trained without some words of the table, the model still knows their kin; whole words in new places it knows too."""
-    bad = [f"https://shop.{w}.example.org/de/{i}" for i, w in enumerate(U.BAD_WORDS)] + [f"http://{w}-24.example.org/x/{i}" for i, w in enumerate(U.BAD_WORDS)]
-    good = [f"https://my.{w}.example.org/de/{i}" for i, w in enumerate(U.GOOD_WORDS)] + [f"http://{w}{v}.example.org/{i}" for i, (w, v) in enumerate(zip(("thth", "ther", "rain", "book", "river"), ("st", "ha", "fall", "shelf", "bank"), strict=True))]
+def folds():
+    """(label, score) of each word's host by a model trained without the word."""
+    r = random.Random(1)
+    bad, good = list(U.BAD_WORDS), list(U.GOOD_WORDS)
+    r.shuffle(bad)
+    r.shuffle(good)
+    for k in range(5):
+        rest = [tuple(x for i, x in enumerate(words) if i % 5 != k) for words in (bad, good)]
+        model = U.train(U.labelled_urls(*rest))
+        for label, words in ((1, bad), (0, good)):
+            yield from ((label, U.score((f"www.{x}.example.org", "/a/1"), *model)) for x in words[k::5])
+
+
+def test_model_on_held_out_words():
+    """Words that were left out: few good ones are blocked; bad ones are caught where they share parts with others."""
+    scored = list(folds())
+    good, bad = [s for y, s in scored if not y], [s for y, s in scored if y]
+    assert sum(s >= U.THRESHOLD for s in good) <= 0.03 * len(good)
+    assert sum(bad) / len(bad) > sum(good) / len(good) + 0.05
+
+
+def test_model_on_new_hosts_of_trained_words():
     w, b = U.train(U.labelled_urls())
-    assert all(U.score(U.split_url(u), w, b) >= 0.5 for u in bad)
-    assert all(U.score(U.split_url(u), w, b) < 0.5 for u in good)
+    score = lambda words: [U.score(U.split_url(f"https://shop.{x}.example.info/news/3"), w, b) for x in words]
+    assert sum(s >= U.THRESHOLD for s in score(U.BAD_WORDS)) >= 0.8 * len(U.BAD_WORDS)
+    assert sum(s >= U.THRESHOLD for s in score(U.GOOD_WORDS)) == 0
 
 
 def test_pages(spark):
-    got = U.judged(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).where("rule is null").collect()
-    for r in got:
-        assert (r.verdict == "block") == any(x in r.host for x in ("spam-farm", "cheap-pills", "casino-win", "adult-x", "ads-track")), r.host
+    """Hosts that no labelled url names: errors of both kinds stay few."""
+    got = U.judged(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).where("rule is null").collect()
+    trained = {U.split_url(u)[0] for u, _ in U.labelled_urls()}
+    assert not trained & {r.host for r in got}
+    unwanted = [r.verdict for r in got if any(x in r.host for x in ("spam-farm", "cheap-pills", "casino-win", "adult-x", "ads-track"))]
+    others = [r.verdict for r in got if not any(x in r.host for x in ("spam-farm", "cheap-pills", "casino-win", "adult-x", "ads-track"))]
+    print("blocked", unwanted.count("block"), "of", len(unwanted), "unwanted,", others.count("block"), "of", len(others), "others")
+    assert unwanted.count("block") >= 0.7 * len(unwanted) and others.count("block") <= 0.02 * len(others)
 
 
 def test_edges(spark):
