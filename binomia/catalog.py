@@ -292,7 +292,7 @@ p AS (SELECT doc_id, i, text, split_part(seg, chr(2), 1) src, sum(length(replace
 latin AS (SELECT doc_id, src source_text, st start_char, (st + length(src))::INT end_char,
   (1 + length(substring(text, 1, st)) - length(replace(substring(text, 1, st), chr(10), '')))::INT line_number, text FROM p WHERE i > 1
   AND NOT regexp_matches(src, '(^| )[A-Za-z]{1,2}( |$)') AND lower(src) NOT IN (""" + _quoted(latin.STOP_PHRASES) + """)
-  AND coalesce(lower(regexp_extract(substring(text, greatest(st - 64, 0) + 1, least(st, 64)), '([\\p{L}\\p{N}_]+)[\\s.]*\\.\\s*$', 1)), '') NOT IN (""" + _quoted(latin.TITLES) + """))"""
+  AND coalesce(lower(regexp_extract(substring(text, 1, st), '([\\p{L}\\p{N}_]+)[\\s.]*\\.\\s*$', 1)), '') NOT IN (""" + _quoted(latin.TITLES) + """))"""
 _KNOWN = "known AS (SELECT DISTINCT lower(regexp_extract(text, '[A-Z][a-z]+ [a-z]{2,}')) kn FROM benchmark WHERE regexp_extract(text, '[A-Z][a-z]+ [a-z]{2,}') <> '')"
 _CONF = "conf AS (SELECT l.*, CASE WHEN kn IS NOT NULL THEN 0.9 ELSE 0.7 END::DOUBLE confidence, list_aggregate(list_transform(regexp_extract_all(source_text, '[A-Za-z]+'), lambda x: lower(x)), 'string_agg', ' ') lemma FROM latin l LEFT JOIN known ON lower(source_text) = kn)"
 _TOKENS = """
@@ -324,7 +324,7 @@ ORACLES = {
         a AS (SELECT p_partkey, lower(n) a, replace(lower(n), 'ё', 'е') b, list_aggregate(list_transform(regexp_extract_all(n, '[A-Za-zА-Яа-яЁё]+'), lambda x: lower(x)), 'string_agg', ' ') c FROM v),
         u AS (SELECT p_partkey, unnest([a, b, c, replace(c, 'ё', 'е')]) variant, unnest([1, 2, 3, 4]) k FROM a), d AS (SELECT p_partkey, variant, min(k) k FROM u WHERE variant <> '' GROUP BY ALL)
         SELECT p_partkey, (row_number() OVER (PARTITION BY p_partkey ORDER BY k) - 1)::INT idx, variant FROM d""",
-    "gazetteer_mappings": "SELECT p_brand locale, lower(p_name) AS name, count(*) n_ids, min(p_partkey) first_id, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) ids FROM part WHERE p_brand IN ('Brand#1', 'Brand#2', 'Brand#3') GROUP BY ALL",
+    "gazetteer_mappings": "SELECT p_brand locale, lower(p_name) AS name, count(*) n_ids, min(p_partkey) first_id, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) ids FROM part GROUP BY ALL",
     "gazetteer_record": """WITH n AS (SELECT c_custkey id, c_custkey % 97 taxon_id, CASE WHEN c_custkey % 11 = 0 THEN '' ELSE c_name END AS name, CASE c_custkey % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'ru' ELSE 'de' END locale, c_custkey % 5 = 0 p FROM customer),
         a AS (SELECT taxon_id, locale, coalesce(nullif(arg_min(name, id) FILTER (p), ''), arg_min(name, id)) AS name FROM n WHERE locale IN ('en', 'ru') GROUP BY ALL)
         SELECT p_partkey taxon_id, p_name taxon_name, lower(p_type) taxon_rank, e.name common_en, r.name common_loc FROM part LEFT JOIN a e ON e.taxon_id = p_partkey AND e.locale = 'en' LEFT JOIN a r ON r.taxon_id = p_partkey AND r.locale = 'ru'""",
@@ -353,7 +353,7 @@ ORACLES = {
         FROM latin l LEFT JOIN sent t ON l.doc_id = t.doc_id AND s <= start_char AND start_char < e""",
     "expanded_context": f"""WITH {_SPANS}, {_SENTENCES.strip()}, w AS (SELECT doc_id, sent_idx, s, e, concat_ws(' ', lag(tx) OVER o, tx, lead(tx) OVER o) wide FROM sent WINDOW o AS (PARTITION BY doc_id ORDER BY sent_idx))
         SELECT l.doc_id, start_char, source_text, md5(arg_min(wide, sent_idx)) context_md5 FROM latin l LEFT JOIN w ON l.doc_id = w.doc_id AND (s <= start_char AND start_char < e OR s < end_char AND end_char <= e)
-        WHERE start_char % 3 = 0 GROUP BY l.doc_id, start_char, source_text""",
+        GROUP BY l.doc_id, start_char, source_text""",
     "gazetteer_candidates": f"""WITH n AS (SELECT item_id, lower(regexp_extract(text, '^([A-Za-z]+ [A-Za-z]+)', 1)) nm FROM benchmark), g AS (SELECT nm, count(*) c, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) ids FROM n WHERE nm <> '' GROUP BY ALL), {_TOKENS.strip()},
         two AS (SELECT doc_id, st, en FROM ng WHERE en IS NOT NULL AND contains(k, chr(1))), x AS (SELECT two.doc_id, st, en, substring(text, st + 1, en - st) src, substring(text, 1, st) pre FROM two JOIN documents USING (doc_id))
         SELECT doc_id, st start_char, en end_char, src source_text, (1 + length(pre) - length(replace(pre, chr(10), '')))::INT line_number, CASE WHEN c > 1 THEN 0.8 ELSE 1.0 END::DOUBLE confidence, ids FROM x JOIN g ON lower(src) = nm""",

@@ -19,7 +19,8 @@ def latin_mentions(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     """(doc_id, source_text, start_char, end_char, line_number): greedy matches whose words all have three letters, that are
     no stop phrase and do not follow a title with a full stop."""
     found = pattern_spans(docs, BINOMIAL, text_col, id_col, before=True)
-    title = F.regexp_extract(F.regexp_replace("before", r"(?U)\s+$", ""), r"(?U)(\w+)[\s.]+$", 1)
+    # Read backwards, so that the pattern is anchored and never scans. A match's first word bounds the word before the next.
+    title = F.reverse(F.regexp_extract(F.reverse("before"), r"(?U)^\s*\.[\s.]*(\w+)", 1))
     kept = found.where(
         F.forall(F.split("source_text", " "), lambda w: F.length(w) >= 3)
         & ~F.lower("source_text").isin(*(stop_phrases or STOP_PHRASES))

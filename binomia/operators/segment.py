@@ -26,19 +26,23 @@ def sentences(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -
     return found.select(id_col, (F.col("i") - 1).alias("sent_idx"), F.col("start_char").alias("start"), F.col("end_char").alias("end"), F.col("source_text").alias("text"))
 
 
-def with_context(mentions: DataFrame, spans: DataFrame, docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """mentions with source_context: the sentence that holds start_char, else the line.
+def _held(mentions: DataFrame, spans: DataFrame, at: Column, text: str, id_col: str) -> DataFrame:
+    """mentions with _held: the column text of the span that holds position at, else null.
 
-    Sentences do not overlap, so the one that began last is the only one that can hold a position: a running
-    last-value over both, ordered by position, replaces a range join.
+    Spans do not overlap, so the one that began last is the only one that can hold a position: a running last-value over
+    both, ordered by position, replaces a range join.
     """
     order = Window.partitionBy(id_col).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     names = mentions.columns
-    marks = spans.select(F.col(id_col), F.col("start").alias("_at"), F.lit(0).alias("_kind"), F.struct("end", "text").alias("_s"), F.lit(None).cast(mentions.select(F.struct(*names)).schema[0].dataType).alias("_m"))
-    own = mentions.select(F.col(id_col), F.col("start_char").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(marks.schema["_s"].dataType).alias("_s"), F.struct(*names).alias("_m"))
+    marks = spans.select(F.col(id_col), F.col("start").alias("_at"), F.lit(0).alias("_kind"), F.struct(F.col("end"), F.col(text).alias("text")).alias("_s"), F.lit(None).cast(mentions.select(F.struct(*names)).schema[0].dataType).alias("_m"))
+    own = mentions.select(F.col(id_col), at.alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(marks.schema["_s"].dataType).alias("_s"), F.struct(*names).alias("_m"))
     met = marks.unionByName(own).withColumn("_s", F.last("_s", ignorenulls=True).over(order)).where("_kind = 1")
-    held = F.when(F.col("_s.end") > F.col("_at"), F.col("_s.text"))
-    out = met.select("_m.*", held.alias("source_context"))
+    return met.select("_m.*", F.when(F.col("_s.end") > F.col("_at"), F.col("_s.text")).alias("_held"))
+
+
+def with_context(mentions: DataFrame, spans: DataFrame, docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """mentions with source_context: the sentence that holds start_char, else the line."""
+    out = _held(mentions, spans, F.col("start_char"), "text", id_col).withColumnRenamed("_held", "source_context")
     lines = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
     missing = out.where(F.col("source_context").isNull()).drop("source_context").join(lines, id_col).withColumn("source_context", line_at(F.col("_text"), F.col("line_number"))).drop("_text")
     return out.where(F.col("source_context").isNotNull()).unionByName(missing)
@@ -47,11 +51,12 @@ def with_context(mentions: DataFrame, spans: DataFrame, docs: DataFrame, text_co
 def expanded_context(mentions: DataFrame, spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """mentions with expanded_context: its sentence with the one before and after, joined by spaces; null if in none.
 
-    The sentence is the first that holds start_char, or else end_char.
+    The sentence is the one that holds start_char, or else the one that holds the last character: never a later one than
+    any other that holds an end of the mention.
     """
     w = Window.partitionBy(id_col).orderBy("sent_idx")
-    around = spans.withColumn("wide", F.array_join(F.filter(F.array(F.lag("text").over(w), F.col("text"), F.lead("text").over(w)), lambda x: x.isNotNull()), " "))
-    s, m = around.select(F.col(id_col).alias("_id"), "sent_idx", F.col("start").alias("_s"), F.col("end").alias("_e"), "wide"), mentions.withColumn("_key", F.monotonically_increasing_id())
-    inside: Column = (F.col("_s") <= F.col("start_char")) & (F.col("start_char") < F.col("_e")) | (F.col("_s") < F.col("end_char")) & (F.col("end_char") <= F.col("_e"))
-    hit = m.join(s, (m[id_col] == s["_id"]) & inside, "left")
-    return hit.groupBy(*mentions.columns, "_key").agg(F.min_by("wide", "sent_idx").alias("expanded_context")).drop("_key")
+    around = spans.withColumn("_wide", F.array_join(F.filter(F.array(F.lag("text").over(w), F.col("text"), F.lead("text").over(w)), lambda x: x.isNotNull()), " "))
+    first = _held(mentions, around, F.col("start_char"), "_wide", id_col).withColumnRenamed("_held", "expanded_context")
+    rest = first.where(F.col("expanded_context").isNull()).drop("expanded_context")
+    by_end = _held(rest, around, F.col("end_char") - 1, "_wide", id_col).withColumnRenamed("_held", "expanded_context")
+    return first.where(F.col("expanded_context").isNotNull()).unionByName(by_end)

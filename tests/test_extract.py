@@ -98,3 +98,27 @@ def test_sliding_windows(spark):
     assert [c.split()[0] for c in got] == ["0", "50", "100", "150"] and got[-1].split()[-1] == "229"
     with pytest.raises(ValueError, match="Unknown chunk strategy"):
         chunking.chunks(docs(spark, "x"), "line")
+
+
+def test_spans_with_any_ids_and_marks(spark):
+    """Rows with repeated or null ids are rows of their own; control characters of the text come out as they were."""
+    rows = [(1, "See Quercus robur."), (1, "Hi\n\x01 Tilia cordata here.\x02 Dr. Pinus mugo"), (None, "Betula nana"), (None, "A\nBetula nana"), (2, None), (3, "")]
+    own = spark.createDataFrame(rows, "doc_id int, text string")
+    found = pattern_spans(own, "[A-Z][a-z]+ [a-z]+|[^a-zA-Z. \\n]").collect()
+    got = sorted(((r.doc_id, r.start_char, r.end_char, r.source_text, r.line_number) for r in found), key=str)
+    want = [(1, 4, 17, "Quercus robur", 1), (1, 3, 4, "\x01", 2), (1, 5, 18, "Tilia cordata", 2), (1, 24, 25, "\x02", 2), (1, 30, 40, "Pinus mugo", 2), (None, 0, 11, "Betula nana", 1), (None, 2, 13, "Betula nana", 2)]
+    assert got == sorted(want, key=str)
+    assert "\x01" in "".join(r.text for r in segment.sentences(own).collect())
+
+
+def test_spans_move_nothing(spark):
+    own = spark.createDataFrame([(1, "Quercus robur " * 3000)], "doc_id int, text string")
+    found = latin.latin_mentions(own)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [r.start_char for r in pattern_spans(own, "Quercus").collect()] == [14 * i for i in range(3000)]
+
+
+def test_title_far_before_a_name(spark):
+    """A title counts across any number of full stops and spaces."""
+    own = spark.createDataFrame([(1, "Dr" + "." * 200 + " Pinus mugo"), (2, "Dr" + " " * 90 + "." + " Pinus mugo"), (3, "word. Pinus mugo")], "doc_id int, text string")
+    assert [r.doc_id for r in latin.latin_mentions(own).collect()] == [3]
