@@ -23,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    A session without ``spark.checkpoint.dir`` (tests, one machine) gets a temporary folder, once.
+    A local session without ``spark.checkpoint.dir`` (tests, one machine) gets a temporary folder, once; a cluster's must name one.
     """
     found = spark.conf.get(CHECKPOINT_CONF, None)
     if not found:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='binomia-')}"
         spark.conf.set(CHECKPOINT_CONF, found)
     return found.rstrip("/")
