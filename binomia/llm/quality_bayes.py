@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices, unused_name, written
+from .common import as_bytes, mapped, slices, unused_name, written
 
 MAX_TRAIN = 20_000
 BROADCAST_SITES = 100_000
@@ -50,10 +50,13 @@ def features(raw: bytes) -> np.ndarray:
     return np.concatenate([share, [packed, packed * packed, np.log1p(n), np.log1p(words), min(30.0, n / words) / 10, np.log1p(share[4] * n)]])
 
 
-def _evidence(docs: DataFrame, text_col: str, model: tuple[np.ndarray, np.ndarray, np.ndarray, float] | None, name: str) -> DataFrame:
-    """docs with the model's log-odds of being good in column `name`."""
+def _evidence(docs: DataFrame, text_col: str, model: tuple[np.ndarray, np.ndarray, np.ndarray, float] | None, name: str, with_text: bool = True) -> DataFrame:
+    """docs, without its texts if so asked, with the model's log-odds of being good in column `name`."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
+    shown = [f for f in docs.schema.fields if with_text or f.name != text_col]
+    kept = [f.name for f in shown]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col):
             if model is None:
@@ -62,9 +65,9 @@ def _evidence(docs: DataFrame, text_col: str, model: tuple[np.ndarray, np.ndarra
                 mean, scale, w, b = model
                 rows = np.stack([features(x or b"") for x in as_bytes(part.column(text_col))])
                 z = np.clip((rows - mean) / scale @ w + b, -CLIP, CLIP)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(z)], names=[*part.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), pa.array(z)], names=[*kept, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+    return mapped(docs, run, StructType([*shown, StructField(name, DoubleType())]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray, float] | None:
@@ -79,7 +82,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([part.column("_y"), pa.array(rows, pa.list_(pa.float64()))], names=["y", "x"])
 
     # max_train bounds the broadcast side; ids that repeat in docs could exceed it, so the rows that come back are bounded too.
-    met = own.join(F.broadcast(some), "_id").select("_y", "_text").mapInArrow(run, "y int, x array<double>").limit(2 * max_train).toPandas()
+    met = mapped(own.join(F.broadcast(some), "_id").select("_y", "_text"), run, "y int, x array<double>").limit(2 * max_train).toPandas()
     if met.y.nunique() < 2:
         return None
     x, y = np.stack(met.x.to_numpy()), met.y.to_numpy().astype(np.float64)
@@ -127,17 +130,19 @@ def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, host
     evidence_name, score_name = names
     model = fit(docs, labels, id_col, text_col)
     own = docs.select(F.col(host_col), F.col(path_col), F.col(text_col))
-    levels = written(sites(_evidence(own, text_col, model, evidence_name), host_col, path_col, evidence_name), "bayes-sites")
+    levels = written(sites(_evidence(own, text_col, model, evidence_name, with_text=False), host_col, path_col, evidence_name), "bayes-sites")
     small = levels.limit(BROADCAST_SITES + 1).count() <= BROADCAST_SITES
-    s = levels.select(*[F.col(c).alias(f"__site_{c}") for c in levels.columns])
+    site = {c: unused_name(f"_site_{c}", [*docs.columns, *names]) for c in levels.columns}
+    s = levels.select(*[F.col(c).alias(site[c]) for c in levels.columns])
     s = F.broadcast(s) if small else s
     out = _evidence(docs, text_col, model, evidence_name)
-    out = out.join(s, out[host_col].eqNullSafe(s["__site_host"]) & out[path_col].eqNullSafe(s["__site_path"]), "left")
+    out = out.join(s, out[host_col].eqNullSafe(s[site["host"]]) & out[path_col].eqNullSafe(s[site["path"]]), "left")
+    of = lambda c: F.col(site[c])
     p = 1 / (1 + F.exp(-F.col(evidence_name)))
     logit = lambda x: F.log(x / (1 - x))
-    others = _shrunk(F.col("__site_total") - p, F.col("__site_n") - 1, F.col("__site_host_mean"), F.col("__site_k_path"))
+    others = _shrunk(of("total") - p, of("n") - 1, of("host_mean"), of("k_path"))
     bounded = lambda x: F.least(F.greatest(x, F.lit(1e-6)), F.lit(1 - 1e-6))
-    shift = SITE_WEIGHT * (logit(bounded(others)) - logit(bounded(F.col("__site_prior"))))
+    shift = SITE_WEIGHT * (logit(bounded(others)) - logit(bounded(of("prior"))))
     score = 1 / (1 + F.exp(-(F.col(evidence_name) + shift)))
     return out.select(*docs.columns, F.col(evidence_name), score.alias(score_name))
 

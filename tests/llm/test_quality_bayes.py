@@ -1,3 +1,6 @@
+import math
+from collections import defaultdict
+
 import numpy as np
 from binomia.llm import quality_bayes as Q
 
@@ -40,3 +43,33 @@ def test_edges(spark, odd_docs, no_docs):
     assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count()
     assert Q.classified(no_docs, none).collect() == []
     assert Q.keep_good(no_docs, odd_labels).collect() == []
+
+
+def test_posteriors_against_brute_force(spark):
+    """Sums, prior, strengths and shrunk scores anew in plain Python, from the evidence of each document."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = Q.classified(docs.withColumnsRenamed({"source": "_site_n"}), labels, host_col="_site_n").collect()
+    model = Q.fit(docs, labels)
+    z = {r.doc_id: r._z for r in Q._evidence(docs, "text", model, "_z").collect()}
+    p = {k: 1 / (1 + math.exp(-v)) for k, v in z.items()}
+    paths, hosts = defaultdict(list), defaultdict(list)
+    for r in rows:
+        paths[r.host, r.path].append(p[r.doc_id])
+        hosts[r.host].append(p[r.doc_id])
+    prior = (sum(p.values()) + 1) / (len(p) + 2)
+
+    def strength(groups):
+        n = sum(map(len, groups.values()))
+        spread = sum(len(g) * (sum(g) / len(g) - prior) ** 2 for g in groups.values()) / n - prior * (1 - prior) * len(groups) / n
+        return min(max(prior * (1 - prior) / max(spread, 1e-9) - 1, 2.0), 10_000.0)
+
+    k_host, k_path = strength(hosts), strength(paths)
+    logit = lambda x: math.log(x / (1 - x))
+    assert len(rows) == docs.count()
+    for r in rows:
+        host = (sum(hosts[r.host]) + k_host * prior) / (len(hosts[r.host]) + k_host)
+        others = paths[r.host, r.path]
+        path = (sum(others) - p[r.doc_id] + k_path * host) / (len(others) - 1 + k_path)
+        score = 1 / (1 + math.exp(-(z[r.doc_id] + 0.5 * (logit(min(max(path, 1e-6), 1 - 1e-6)) - logit(prior)))))
+        assert abs(r.score - score) < 2e-6 and abs(r.evidence - z[r.doc_id]) < 2e-6 and r.kept == (score >= 0.5)
