@@ -38,7 +38,7 @@ TRIES = 4
 #: A block's bounds: texts are packed with those of their block.
 BLOCK_BYTES, BLOCK_ROWS = 10 << 20, 8192
 #: Units that a worker remembers between blocks, and how many are encoded as one text.
-KNOWN, LINES = 1_000_000, 10_000
+KNOWN, LINES = 500_000, 10_000
 
 
 def pack(sizes: list[int], capacity: int = CAPACITY, linear: float = LINEAR, quadratic: float = QUADRATIC) -> list[tuple[int, int, int, int, int]]:
