@@ -5,7 +5,8 @@ the page, asides, forms, scripts, and elements whose class or id says menu, side
 On the rest each node's density is its characters per tag, adjusted by how much of them are link text; a node's density
 sum is that of its children. The node of largest sum fixes the threshold (the least density on the path from body to it),
 and from the body down, wherever a node reaches the threshold, its subtree's node of largest sum is content. Content that
-lies in one article or main element, or under one block, is taken with all that block holds, so short paragraphs stay.
+lies under one block is taken with all that block holds, so short paragraphs stay; if it lies in an article or main
+element, or spreads over the page, all such elements side by side are content, but those that are mostly links.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined in page order by one
 space, and nothing else is dropped. Parsing is linear; recursion is not used, so depth is no limit.
@@ -39,6 +40,11 @@ CUT_WORDS = frozenset(
     "respond replies disqus notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended pagination pager toolbar "
     "widget skip legal copyright disclaimer".split()
 )
+#: What may follow such a word in a compound that still names the part (`sidebar-left`); else its last word decides
+#: (`site-footer` is a footer, `header-image` an image, `social-history` a history).
+PLACES = frozenset("area bar block bottom box column container content group inner item items left link links list main outer panel primary region right row secondary section top wrap wrapper".split())
+#: Compounds with these words before `header` hold an article's title.
+TITLED = frozenset("article content entry page post section story".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -62,15 +68,28 @@ class Node:
         self.density = self.total = 0.0
 
 
+def _in_article(node: Node | None) -> bool:
+    while node is not None and node.tag not in ("article", "main"):
+        node = node.parent
+    return node is not None
+
+
+def _names_cut(value: str, parent: Node) -> bool:
+    """Whether one of the names in a class or id says that this is no article."""
+    for name in value.split():
+        words = _WORD.findall(name)
+        while len(words) > 1 and words[-1] in PLACES:
+            words.pop()
+        if words and words[-1] in CUT_WORDS and not (words[-1] == "header" and (not TITLED.isdisjoint(words) or _in_article(parent))):
+            return True
+    return False
+
+
 def _is_cut(tag: str, attributes: str, parent: Node) -> bool:
     if tag in CUT:
         return True
-    if tag == "header":  # an article's own header holds its title
-        at: Node | None = parent
-        while at is not None and at.tag not in ("article", "main"):
-            at = at.parent
-        if at is None:
-            return True
+    if tag == "header" and not _in_article(parent):  # an article's own header holds its title
+        return True
     if "=" not in attributes and "hidden" not in attributes or tag in ("html", "body"):
         return False
     for m in _ATTR.finditer(attributes):
@@ -78,7 +97,7 @@ def _is_cut(tag: str, attributes: str, parent: Node) -> bool:
             return True
         name, value = m[1].lower(), m[2].strip("\"'").lower()
         if name in ("class", "id"):
-            if tag not in ("article", "main") and not CUT_WORDS.isdisjoint(_WORD.findall(value)):
+            if tag not in ("article", "main") and _names_cut(value, parent):
                 return True
             if tag == "article" and not {"comment", "comments", "reply"}.isdisjoint(_WORD.findall(value)):
                 return True
@@ -231,17 +250,17 @@ def _measure(nodes: list[Node], body: Node) -> None:
         node.total = sum(k.density for k in node.kids if not isinstance(k, str) and not k.cut)
 
 
-def _content(root: Node) -> Node | None:
-    """The block that holds the content."""
+def _content(root: Node) -> list[Node]:
+    """The block that holds the content, or the articles side by side that do."""
     nodes = _walk(root)
     body = next((x for x in nodes if x.tag == "body"), root)
     inside = _walk(body)
     _measure(inside, body)
     if not body.chars:
-        return None
+        return []
     best = max(inside, key=lambda x: x.total)
     if not best.total:
-        return body  # text without any tag below
+        return [body]  # text without any tag below
     least, at = best.density, best
     while at is not body:
         at = at.parent
@@ -279,18 +298,22 @@ def _content(root: Node) -> Node | None:
     if common.tag in INLINE or common.tag in ("p", *_HEADINGS):
         while common is not body and (common.tag in INLINE or common.tag in ("p", *_HEADINGS)):
             common = common.parent
-    for x in path(common):  # the outermost article or main element around it
-        if x.tag in ("article", "main"):
-            return x
-    if common is not body:
-        # sections side by side make one article: go up while what the parent adds is text of like density
-        while common.parent is not body and common.parent is not None and common.parent.density >= least and common.parent.chars - common.chars < common.chars:
-            common = common.parent
-    else:
-        articles = [x for x in inside if x.tag in ("article", "main")]
-        if articles:
-            return max(articles, key=lambda x: x.chars)
-    return common
+    named = any(x.tag in ("article", "main") for x in path(common))
+    if named or common is body:
+        # The choice lies in what an author marks as an article, or spreads over the page: all that is marked so, outermost.
+        articles, stack = [], [body]
+        while stack:
+            x = stack.pop()
+            if x.tag in ("article", "main"):
+                if x.chars and not (_is_menu(x) and x is not common):
+                    articles.append(x)
+            else:
+                stack += [k for k in reversed(x.kids) if not isinstance(k, str) and not k.cut]
+        return articles or [common]
+    # sections side by side make one article: go up while what the parent adds is text of like density
+    while common.parent is not body and common.parent is not None and common.parent.density >= least and common.parent.chars - common.chars < common.chars:
+        common = common.parent
+    return [common]
 
 
 def _is_menu(x: Node) -> bool:
@@ -302,12 +325,14 @@ def extract(page: str) -> str:
     """The main text of a page."""
     if not page:
         return ""
-    node = _content(parse(page))
-    if node is None:
+    nodes = _content(parse(page))
+    if not nodes:
         return ""
     blocks, run = [], []
-    named = node.tag in ("article", "main")  # what an author marks as the article is taken whole
-    stack: list[Node | str | None] = [*reversed(node.kids)]  # None ends a block
+    named = nodes[0].tag in ("article", "main")  # what an author marks as the article is taken whole
+    stack: list[Node | str | None] = []  # None ends a block
+    for node in reversed(nodes):
+        stack += [None, *reversed(node.kids)]
     while stack:
         x = stack.pop()
         if x is None:
