@@ -1,8 +1,11 @@
-"""Groups of near copies by exact Jaccard similarity of word shingles.
+"""Groups of near copies by SimHash of word shingles, confirmed and completed by their exact Jaccard similarity.
 
 Two texts link if the sets of their five-word shingles (as XXH64) have a Jaccard similarity of 0.8 or more; groups are
-the components of these links. Such pairs lie some ten of 64 SimHash bits apart, where covering masks would need hundreds of
-thousands of tables. So candidates come from prefix filtering, which loses no pair: with all shingles in one
+the components of these links. Candidates come first from SimHash: each set has a 64-bit fingerprint, and sets whose
+fingerprints agree under one of 63 covering masks meet, which all within five bits do (simhash.py) and many of those beyond.
+
+Pairs of a similarity just above 0.8 lie some ten bits apart, up to twenty, where masks that lose none would be hundreds of
+thousands of tables. So what the bits leave apart is completed by prefix filtering, which loses no pair: with all shingles in one
 order, two sets that are this similar share one among the first n - ceil(0.8 n) + 1 of each. Shingles that are frequent
 in a sample of the texts come last in that order; the sample bears on the cost alone, any order gives the same groups.
 
@@ -10,8 +13,8 @@ Prefix shingles are dealt out by their hash once, those of several sets stay. A
 sketches (counts of hashes in equal ranges, some eight to a range), whose common part bounds the intersection from above; what
 passes is confirmed by the intersection itself, for which texts of the sets in question alone are shingled again.
 
-Equal sets cost one row. In each of some rounds a set is compared with a few leaders of its buckets, which joins large groups
-of near copies at a cost in proportion to their size. Then the pairs of each bucket that are still in different components are
+Equal sets cost one row. In each of two rounds, of SimHash buckets and of prefix buckets, a set is compared with a few leaders
+of its buckets, which joins large groups of near copies at a cost in proportion to their size. Then the pairs of each bucket that are still in different components are
 all compared: a large bucket of texts that share a rare shingle and are no near copies costs pairs.
 
 Defined results: a null text has no words, like an empty one, and all of these are copies of one another; a text of at
@@ -32,14 +35,18 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, dropped, mapped, slices, written
 from .graph import components
-from .simhash import SEED, first_rows, labelled, with_component
+from .simhash import SEED, first_rows, labelled, masked, of_hashes, with_component
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
+#: Sets whose SimHashes differ in so many bits at most meet under a mask; more differing bits are left to the prefixes.
+RADIUS = 5
 #: Buckets of at most so many sets are compared pair by pair.
 PAIRWISE = 32
-#: For each round, with how many leaders of its buckets a set is compared at most.
+#: With how many leaders of its buckets a set is compared at most: of the SimHash masks, then of the prefixes.
 LEADERS = (4, 32)
+#: So many of a set's shingles are looked at for an earlier one that a pair shares.
+BEFORE = 32
 #: About so many texts are read to find frequent shingles, of which so many at most are remembered.
 SAMPLE, FREQUENT = 4000, 50_000
 #: Parts that the rows of a frequent shingle are dealt out to.
@@ -110,14 +117,26 @@ def _longs(values: list[int]) -> pa.Array:
 
 
 def _sets_of(texts: DataFrame) -> DataFrame:
-    """(doc_id, fp, n, sketch): fp stands for the whole set, n is its size."""
+    """(doc_id, fp, n, bits, sketch): fp stands for the whole set, n is its size, bits is its SimHash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", _BYTES):
-            rows = [(digest(s), len(s), sketch(s)) for s in (shingles(raw or b"") for raw in as_bytes(part.column("text")))]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), _longs([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["doc_id", "fp", "n", "sketch"])
+            rows = [(digest(s), len(s), of_hashes(s), sketch(s)) for s in (shingles(raw or b"") for raw in as_bytes(part.column("text")))]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), _longs([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64()), _longs([r[2] for r in rows]), pa.array([r[3] for r in rows], pa.binary())],
+                names=["doc_id", "fp", "n", "bits", "sketch"],
+            )
+
+    return mapped(texts, run, "doc_id long, fp long, n long, bits long, sketch binary")
 
-    return mapped(texts, run, "doc_id long, fp long, n long, sketch binary")
+
+def alike(each: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(token, fp, n, p, q, r, label, before): the sets that share a covering mask's key of their SimHash with another, in the form of
+    placed prefix buckets of sets that are components of their own."""
+    rows = each.where("n > 0").select("fp", masked("bits", radius).alias("b")).select(F.xxhash64("b.t", "b.key").alias("token"), "fp")
+    own = Window.partitionBy("token")
+    met = rows.withColumns({"low": F.min("fp").over(own), "high": F.max("fp").over(own)}).where("low <> high").select("token", "fp")
+    return written(met.join(each.select("fp", "n"), "fp").selectExpr("token", "fp", "n", "0L as p", "0L as q", "0L as r", "fp as label", "cast(array() as array<bigint>) as before"), "near-alike")
 
 
 def _frequent(texts: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -168,19 +187,28 @@ def buckets(texts: DataFrame, rows: int, similarity: float = SIMILARITY) -> Data
     return written(met.selectExpr("token", "fp", "shiftright(what, 32) as n", "shiftright(what & 4294967295L, 1) as p"), "near-buckets")
 
 
-def _possible(a: str, b: str, t: Fraction) -> str:
+def _possible(a: str, b: str, t: Fraction, first: bool = False) -> str:
     """Whether two sets that share a shingle, at place p of the order in each, have sizes and places for the similarity t.
-    What they share before it lies in open buckets of both, of which q come before."""
-    most = f"least({a}.q, {b}.q) + least({a}.n - {a}.p, {b}.n - {b}.p)"
+    What they share before it lies in open buckets of both, of which q come before. With first, they share none that is
+    among the `before` of both: these are the last before it in an order that both have, so that whatever they do share is
+    older than all of one set's, of which r are left."""
+    most = f"least({a}.q, {b}.q{f', greatest({a}.r, {b}.r)' if first else ''}) + least({a}.n - {a}.p, {b}.n - {b}.p)"
     return f"{a}.fp <> {b}.fp and {t.numerator + t.denominator} * ({most}) >= {t.numerator} * ({a}.n + {b}.n)"
 
 
+def _first(a: str, b: str, t: Fraction) -> str:
+    """_possible() where no earlier bucket of a few gives the same pair."""
+    return f"not arrays_overlap({a}.before, {b}.before) and {_possible(a, b, t, first=True)}"
+
+
 def _placed(split: DataFrame, t: Fraction) -> DataFrame:
     """split with q, how many shingles of the set's open buckets come before this one; without rows that no partner of any
     size can make up for. A shingle that two sets share and that comes before another of their common prefix shingles
-    is in both prefixes, so its bucket is open while they are in different components: other places count for nothing."""
-    placed = split.withColumn("q", F.row_number().over(Window.partitionBy("fp").orderBy("p")) - 1)
-    return placed.where(t.denominator * (F.col("q") + F.col("n") - F.col("p")) >= t.numerator * F.col("n"))
+    is in both prefixes, so its bucket is open while they are in different components: other places count for nothing.
+    before: the last few of these shingles; r: how many come before those."""
+    own = Window.partitionBy("fp").orderBy("p")
+    placed = split.withColumns({"q": F.row_number().over(own) - 1, "before": F.collect_list("token").over(own.rowsBetween(-BEFORE, -1))})
+    return placed.withColumn("r", F.col("q") - F.size("before")).where(t.denominator * (F.col("q") + F.col("n") - F.col("p")) >= t.numerator * F.col("n"))
 
 
 def _likely(pairs: DataFrame, each: DataFrame, t: Fraction) -> DataFrame:
@@ -228,43 +256,52 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, each: DataFrame, t: Fraction)
 
 
 def _nominated(split: DataFrame, t: Fraction, turn: int, leaders: int) -> DataFrame:
-    """At most so many (u, v) for each set: of its buckets' leaders in other components, those it shares most buckets with.
-    All buckets choose their leaders by the same order, so that near copies find the same few."""
-    row, order = F.struct("fp", "n", "p", "q", "label"), F.xxhash64("fp", F.lit(turn))
+    """At most so many (u, v) for each set: of its buckets' leaders in other components, those it shares most buckets with
+    or, of prefix buckets, whose first shared shingle comes first. All buckets choose their leaders by the same order, so that
+    near copies find the same few."""
+    row, order = F.struct("fp", "n", "p", "q", "r", "label", "before"), F.xxhash64("fp", F.lit(turn))
     # One leader for each residue of the order: chosen by a minimum, so that no bucket is gathered.
     lead = split.groupBy("token", F.pmod(order, F.lit(leaders)).alias("part")).agg(F.min_by(row, order).alias("y")).groupBy("token").agg(F.collect_list("y").alias("ys"))
-    met = split.select("token", row.alias("x")).join(lead, "token").select("x", F.explode(F.expr(f"filter(ys, y -> x.label <> y.label and {_possible('x', 'y', t)})")).alias("y"))
-    shared = met.groupBy(F.col("x.fp").alias("u"), F.col("y.fp").alias("v")).agg(F.count("*").alias("k"))
-    best = Window.partitionBy("u").orderBy(F.desc("k"), "v")
+    met = split.select("token", row.alias("x")).join(lead, "token").select("x", F.explode(F.expr(f"filter(ys, y -> x.label <> y.label and {_first('x', 'y', t)})")).alias("y"))
+    shared = met.groupBy(F.col("x.fp").alias("u"), F.col("y.fp").alias("v")).agg(F.count("*").alias("k"), F.min(F.expr("x.p + y.p")).alias("p"))
+    best = Window.partitionBy("u").orderBy(F.desc("k"), "p", "v")
     return shared.withColumn("at", F.row_number().over(best)).where(F.col("at") <= leaders).select("u", "v")
 
 
 def _crossing(split: DataFrame, t: Fraction, pairwise: int) -> DataFrame:
-    """All (u, v) of one bucket and different components."""
+    """All (u, v) of one bucket and different components, those of large buckets only where they share none of a few before."""
     row = F.struct("fp", "n", "p", "q", "label")
     whole = F.expr(f"flatten(transform(xs, x -> transform(filter(xs, y -> y.fp > x.fp and y.label <> x.label and {_possible('x', 'y', t)}), y -> struct(x.fp as u, y.fp as v))))")
     small = split.where(F.col("m") <= pairwise).groupBy("token").agg(F.collect_list(row).alias("xs")).select(F.explode(whole).alias("e")).select("e.u", "e.v")
     big = split.where(F.col("m") > pairwise)
+    row = F.struct("fp", "n", "p", "q", "r", "label", "before")
     shares = big.groupBy("token", "label").agg(F.count("*").alias("k"))
     main = shares.groupBy("token").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
     rest = big.join(main, "token").where("label <> main").select("token", row.alias("y"))
-    more = big.select("token", row.alias("x")).join(rest, "token").where(f"x.label <> y.label and {_possible('x', 'y', t)}")
+    more = big.select("token", row.alias("x")).join(rest, "token").where(f"x.label <> y.label and {_first('x', 'y', t)}")
     return small.unionByName(more.select(F.col("x.fp").alias("u"), F.col("y.fp").alias("v")))
 
 
+def by_simhash(each: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, leaders: int = LEADERS[0]) -> DataFrame:
+    """(u, v): confirmed pairs among those whose SimHashes agree under a mask. each: (fp, first, n, bits, sketch)."""
+    t, split = _ratio(similarity), alike(each)
+    found = _confirmed(_nominated(split, t, 0, leaders), texts, each, t)
+    dropped(split)
+    return found
+
+
 def links(each: DataFrame, texts: DataFrame, met: DataFrame, similarity: float = SIMILARITY, pairwise: int = PAIRWISE, leaders: tuple[int, ...] = LEADERS) -> DataFrame:
-    """(u, v): enough confirmed pairs to join whatever a chain of similar sets joins. each: (fp, first, n, sketch); met: of buckets()."""
-    t, found, labels = _ratio(similarity), None, met.select("fp", F.col("fp").alias("label")).limit(0)
-    for turn in range(len(leaders) + 1):
+    """(u, v): enough confirmed pairs to join whatever a chain of similar sets joins. each: as for by_simhash(); met: of buckets()."""
+    t, found = _ratio(similarity), by_simhash(each, texts, similarity, leaders[0])
+    for turn in range(1, len(leaders) + 1):
+        labels = components(found).select(F.col("node").alias("fp"), "label")
         named = met.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
         open_ = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m")).where("low <> high").select("token", "m")
         split = written(_placed(named.join(open_, "token"), t), "near-split")
         last = turn == len(leaders)
         new = _confirmed(_crossing(split, t, pairwise) if last else _nominated(split, t, turn, leaders[turn]), texts, each, t)
         dropped(split)
-        found = new if found is None else written(found.unionByName(new).distinct(), "near-links")
-        if not last:
-            labels = components(found).select(F.col("node").alias("fp"), "label")
+        found = written(found.unionByName(new).distinct(), "near-links")
     return found
 
 
@@ -272,7 +309,7 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, similarity: float, pair
     """(doc_id, fp) of each row, and labelled() of its sets."""
     texts = _texts(docs, id_col, text_col)
     own = written(_sets_of(texts), "near-sets-of")
-    each = written(own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "near-distinct")
+    each = written(own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("sketch").alias("sketch")), "near-distinct")
     met = buckets(texts, own.count(), similarity)
     return own.select("doc_id", "fp"), labelled(own, links(each, texts, met, similarity, pairwise))
 

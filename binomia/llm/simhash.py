@@ -21,7 +21,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, mapped, slices, unused_name, written
@@ -37,6 +37,22 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder=
 _BLOCK = 1 << 17
 
 
+def _counts(hashes: np.ndarray) -> np.ndarray:
+    """In how many hashes each of the 64 bits is set."""
+    columns = hashes.view(np.uint8).reshape(-1, 8)
+    return np.concatenate([np.bincount(columns[:, j], minlength=256) @ _BITS for j in range(8)])
+
+
+def _majority(counts: np.ndarray, n: int) -> int:
+    bits = (counts * 2 > n).astype(np.uint8)
+    return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
+
+def of_hashes(hashes: np.ndarray) -> int:
+    """The 64-bit SimHash of shingles' hashes (uint64), zero of none."""
+    return _majority(_counts(hashes), len(hashes))
+
+
 def fingerprint(raw: bytes, shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
     """The 64-bit SimHash of a UTF-8 text: a bit is 1 if set in over half of the shingles' XXH64."""
     words = raw.lower().split()  # bytes: A-Z only, and the ASCII white space 09-0D, 20
@@ -54,11 +70,8 @@ def fingerprint(raw: bytes, shingle_words: int = SHINGLE_WORDS, seed: int = SEED
         to = min(n, at + _BLOCK)
         cuts = map(slice, starts[at:to].tolist(), ends[at + shingle_words - 1 : to + shingle_words - 1].tolist())
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(joined.__getitem__, cuts), repeat(seed)), dtype=np.uint64, count=to - at)
-        columns = hashes.view(np.uint8).reshape(-1, 8)
-        for j in range(8):
-            counts[8 * j : 8 * j + 8] += np.bincount(columns[:, j], minlength=256) @ _BITS
-    bits = (counts * 2 > n).astype(np.uint8)
-    return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+        counts += _counts(hashes)
+    return _majority(counts, n)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
@@ -87,14 +100,17 @@ def covering_masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
     return [sum(1 << i for i in range(bits) if (held[i] & v).bit_count() & 1) for v in range(1, vectors + 1)]
 
 
+def masked(fp: str, radius: int) -> Column:
+    """The (t, key) of a fingerprint under each covering mask, one a row."""
+    return F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col(fp).bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(covering_masks(radius))]))
+
+
 def links(fps: DataFrame, radius: int = RADIUS, pairwise: int = PAIRWISE) -> DataFrame:
     """(u, v), u < v: enough links to join whatever differs in at most radius bits (and none that differs in more than a
     path of such links). fps has a column fp of distinct values."""
     if radius not in (1, 2):
         raise ValueError("links() joins within one or two bits")
-    masks = covering_masks(radius)
-    keys = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)]))
-    rows = fps.select("fp", keys.alias("b")).select("fp", "b.t", "b.key")
+    rows = fps.select("fp", masked("fp", radius).alias("b")).select("fp", "b.t", "b.key")
     sizes = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
     met = written(rows.join(sizes, ["t", "key"]), "simhash-buckets")
 
@@ -172,7 +188,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs without the near copies: of each component the row with its smallest id stays (see first_rows()).
 
     Components are those of near_duplicates(); with a similarity, those of texts whose five-word shingles have at least
-    this Jaccard similarity, which two bits of a fingerprint are too few for (see near_copies.py).
+    this Jaccard similarity: fingerprints under wider masks, then what their bits do not show (see near_copies.py).
     """
     if similarity is not None:
         from .near_copies import keep_first

@@ -76,3 +76,46 @@ def test_odd_rows(odd_docs, no_docs):
     assert len(near_copies.near_copies(odd_docs).collect()) == 13
     assert got[2] == got[3] == got[4] == 2 and got[5] == got[6] == 5 and got[7] == 7
     assert near_copies.near_copies(no_docs).collect() == [] and near_copies.keep_first(no_docs).collect() == []
+
+
+def test_simhash_brings_close_sets_together(spark):
+    """All sets within five bits of SimHash share a bucket; the pairs confirmed there are near copies and join most of them."""
+    r = random.Random(11)
+    rows = []
+    for _ in range(40):
+        words = [f"w{r.randrange(500)}" for _ in range(300)]
+        rows += [" ".join(words)] + [" ".join(edited(r, words, 1 + k)) for k in range(3)]
+    texts = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    own = near_copies._sets_of(texts)
+    each = own.groupBy("fp").agg(*[near_copies.F.first(c).alias(c) for c in ("n", "bits", "sketch")], near_copies.F.min("doc_id").alias("first"))
+    sets = {x.doc_id: x for x in own.collect()}
+    for i, t in enumerate(rows):
+        hashes = near_copies.shingles(t.encode()).tolist()
+        assert sets[i].bits & 2**64 - 1 == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    together = {}
+    for x in near_copies.alike(each).collect():
+        together.setdefault(x.token, set()).add(x.fp)
+    met = {frozenset(p) for s in together.values() for p in itertools.combinations(s, 2)}
+    close = {frozenset((a.fp, b.fp)) for a, b in itertools.combinations(sets.values(), 2) if ((a.bits ^ b.bits) & 2**64 - 1).bit_count() <= 5}
+    assert close and close <= met
+    of = {x.fp: near_copies.shingles(rows[i].encode()) for i, x in sets.items()}
+    found = near_copies.by_simhash(each, texts).collect()
+    shared = lambda a, b: len(near_copies.np.intersect1d(of[a], of[b]))
+    assert all(5 * shared(x.u, x.v) >= 4 * (len(of[x.u]) + len(of[x.v]) - shared(x.u, x.v)) for x in found)
+    joined = near_copies.components(spark.createDataFrame(found)).collect()
+    assert len(joined) - len({x.label for x in joined}) >= 60  # of 120
+
+
+def test_pairs_of_a_crowd_are_given_once(spark):
+    """Texts that share many shingles and are no near copies: their pairs come once and not for each shingle."""
+    r = random.Random(12)
+    words = [f"c{i}" for i in range(120)]
+    rows = list(enumerate(" ".join(edited(r, words, 2)) for _ in range(60)))
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    met = near_copies.buckets(texts, len(rows))
+    m = met.groupBy("token").agg(near_copies.F.count("*").alias("m")).where("m > 1")
+    t = near_copies._ratio(0.8)
+    split = near_copies._placed(met.join(m, "token").withColumn("label", near_copies.F.col("fp")), t)
+    pairs = near_copies._crossing(split, t, 2).selectExpr("least(u, v) as u", "greatest(u, v) as v")
+    assert 0 < pairs.count() <= 3 * pairs.distinct().count()
+    assert {x.component_id for x in near_copies.near_copies(texts, pairwise=2).collect()} == brute_first(rows)
