@@ -37,6 +37,8 @@ VOCABULARY = "byte_bpe_50k.json"
 TRIES = 4
 #: A block's bounds: texts are packed with those of their block.
 BLOCK_BYTES, BLOCK_ROWS = 10 << 20, 8192
+#: A block is encoded in parts of so many bytes, as what that takes besides the ids is several times the text.
+PART_BYTES = 2 << 20
 #: Units that a worker remembers between blocks, and how many are encoded as one text.
 KNOWN, LINES = 500_000, 10_000
 
@@ -109,6 +111,12 @@ def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(own), np.cumsum([0, *map(len, own)])
 
 
+def block_ids(block: pa.RecordBatch, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """token_ids() of a block's column text, part by part."""
+    found = [token_ids(part.column("text"), path) for part in slices(iter([block]), "text", PART_BYTES, BLOCK_ROWS)]
+    return np.concatenate([ids for ids, _ in found]), np.cumsum(np.concatenate([[0], *(np.diff(bounds) for _, bounds in found)]))
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -127,7 +135,7 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 
         first = TaskContext.get().partitionId() << 40
         for part in slices(batches, "text", BLOCK_BYTES, BLOCK_ROWS):
-            flat, bounds = token_ids(part.column("text"), path)
+            flat, bounds = block_ids(part, path)
             flat = np.insert(flat, bounds[1:], end_id).astype("<u4", copy=False)
             bounds = bounds + np.arange(len(bounds))
             sizes = np.diff(bounds)

@@ -86,3 +86,16 @@ def test_special_strings(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert 50256 in TOKENIZER.encode(rows[0][1], add_special_tokens=False).ids
     check(docs.collect(), packing.packed(docs, digest=True).collect())
+
+
+def test_block_is_encoded_in_parts(monkeypatch):
+    """No more than a part's bytes are encoded at once (or one text); ids are those of the whole block."""
+    texts = [f"some words {i} of a text, " * (i % 40) for i in range(300)] + [None, "", "one long text " * 900]
+    block, path = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"]), packing.default_vocabulary()
+    ids, bounds = packing.token_ids(block.column("text"), path)
+    sizes, whole = [], packing.token_ids
+    monkeypatch.setattr(packing, "PART_BYTES", 4096)
+    monkeypatch.setattr(packing, "token_ids", lambda part, p: sizes.append((len(part), sum(len(x or "") for x in part.to_pylist()))) or whole(part, p))
+    got, at = packing.block_ids(block, path)
+    assert (got == ids).all() and (at == bounds).all()
+    assert len(sizes) > 10 and all(rows == 1 or n <= 4096 for rows, n in sizes)
