@@ -46,7 +46,7 @@ PAIRWISE = 32
 #: With how many leaders of its buckets a set is compared at most: of the SimHash masks, then of the prefixes.
 LEADERS = (4, 32)
 #: So many of a set's shingles are looked at for an earlier one that a pair shares.
-BEFORE = 32
+BEFORE = 8
 #: About so many texts are read to find frequent shingles, of which so many at most are remembered.
 SAMPLE, FREQUENT = 4000, 50_000
 #: Parts that the rows of a frequent shingle are dealt out to.
