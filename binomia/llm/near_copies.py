@@ -14,8 +14,14 @@ sketches (counts of hashes in equal ranges, some eight to a range), whose common
 passes is confirmed by the intersection itself, for which texts of the sets in question alone are shingled again.
 
 Equal sets cost one row. In each of two rounds, of SimHash buckets and of prefix buckets, a set is compared with a few leaders
-of its buckets, which joins large groups of near copies at a cost in proportion to their size. Then the pairs of each bucket that are still in different components are
-all compared: a large bucket of texts that share a rare shingle and are no near copies costs pairs.
+of its buckets, which joins large groups of near copies at a cost in proportion to their size.
+
+Sets that meet in large buckets are mostly edited copies of one text, many of them not quite near copies of one another. They are
+told apart in families, each with a typical set: what most of some members have. How much two members share follows from where they
+differ from it: all whose differences are few enough are near copies of the member with the fewest, and two others must differ from the typical set
+in the same shingles, which are few and are dealt out in their turn. This settles every pair of a family, whatever its typical set.
+Last, the pairs of each bucket that are still in different components and in no common family are all compared: a large bucket of unlike texts
+that share a rare shingle costs pairs.
 
 Defined results: a null text has no words, like an empty one, and all of these are copies of one another; a text of at
 most five words is one shingle; rows with a null id are grouped like others but all stay; an empty table gives no rows.
@@ -45,6 +51,8 @@ RADIUS = 5
 PAIRWISE = 32
 #: With how many leaders of its buckets a set is compared at most: of the SimHash masks, then of the prefixes.
 LEADERS = (4, 32)
+#: Of so many members at most a family's typical set is made; any set gives the same groups.
+TYPICAL = 64
 #: So many of a set's shingles are looked at for an earlier one that a pair shares.
 BEFORE = 8
 #: About so many texts are read to find frequent shingles, of which so many at most are remembered.
@@ -268,20 +276,98 @@ def _nominated(split: DataFrame, t: Fraction, turn: int, leaders: int) -> DataFr
     return shared.withColumn("at", F.row_number().over(best)).where(F.col("at") <= leaders).select("u", "v")
 
 
-def _crossing(split: DataFrame, t: Fraction, pairwise: int) -> DataFrame:
-    """All (u, v) of one bucket and different components, those of large buckets only where they share none of a few before."""
-    row = F.struct("fp", "n", "p", "q", "label")
-    whole = F.expr(f"flatten(transform(xs, x -> transform(filter(xs, y -> y.fp > x.fp and y.label <> x.label and {_possible('x', 'y', t)}), y -> struct(x.fp as u, y.fp as v))))")
+def _families(split: DataFrame, t: Fraction, pairwise: int) -> DataFrame:
+    """(fp, label, family): sets of large buckets, by the leader that most of these have; families of more than pairwise sets.
+    A set that meets its leader in less than a quarter of its prefix is unlike it and in no family: its pairs are compared."""
+    big = split.where(F.col("m") > pairwise)
+    lead = big.groupBy("token").agg(F.min_by("fp", F.xxhash64("fp")).alias("lead"))
+    met = big.join(lead, "token").groupBy("fp", "n", "label", "lead").agg(F.count("*").alias("k")).where(4 * t.denominator * F.col("k") >= (t.denominator - t.numerator) * F.col("n"))
+    own = met.groupBy("fp", "label").agg(F.max_by("lead", F.struct("k", "lead")).alias("family"))
+    large = own.groupBy("family").agg(F.count("*").alias("m")).where(F.col("m") > pairwise).select("family")
+    return written(own.join(large, "family").select("fp", "label", "family"), "near-families")
+
+
+def _differences(families: DataFrame, texts: DataFrame, each: DataFrame, t: Fraction) -> DataFrame:
+    """(fp, label, family, apart, w): apart are the shingles in which a set and its family's typical set differ. Two members
+    that have s of these in common are as similar as t if 2 (a + b) s >= w + w', where t is a / b."""
+    sets = _hashes(texts, written(families.join(each.select("fp", "first"), "fp").select("fp", "first"), "near-nodes"))
+    own = sets.join(families, "fp")
+    order = F.xxhash64("fp")
+    some = families.groupBy("family", F.pmod(order, F.lit(TYPICAL))).agg(F.min_by("fp", order).alias("fp"))
+    sizes = some.groupBy("family").agg(F.count("*").alias("m"))
+    counts = sets.join(some.select("fp", "family"), "fp").select("family", F.explode("hashes").alias("h")).groupBy("family", "h").agg(F.count("*").alias("k"))
+    typical = counts.join(sizes, "family").where("2 * k > m").groupBy("family").agg(F.collect_list("h").alias("typical"))
+    held = own.join(typical, "family", "left").withColumn("typical", F.coalesce("typical", F.array().cast("array<bigint>")))
+    held = held.withColumns({"more": F.array_except("hashes", "typical"), "less": F.array_except("typical", "hashes")})
+    # In common: the typical set less what either lacks, plus what both lack or both add.
+    w = f"{2 * (t.numerator + t.denominator)}L * size(less) + {2 * t.numerator}L * size(hashes) - {t.numerator + t.denominator}L * size(typical)"
+    out = written(held.select("fp", "label", "family", F.concat("more", "less").alias("apart"), F.expr(w).alias("w")), "near-apart")
+    dropped(sets)
+    return out
+
+
+def _placed_apart(apart: DataFrame, t: Fraction) -> DataFrame:
+    """(family, h, fp, label, w, core, left): shingles of _differences() that a set may share with a partner as the first of those
+    they share, where left counts it and what comes after, rare ones first. core: near copies of the family's member with the least w."""
+    twice = 2 * (t.numerator + t.denominator)
+    own = _cored(apart)
+    outside = own.where("not core").groupBy("family").agg(F.min("w").alias("outside"))
+    # The least w of a partner: two of the core need not meet.
+    own = own.join(outside, "family").withColumn("other", F.when(F.col("core"), F.col("outside")).otherwise(F.col("least.w")))
+    own = own.where(twice * F.size("apart") >= F.col("w") + F.col("other"))
+    rows = own.select("family", "fp", "label", "w", "core", "other", F.size("apart").alias("size"), F.explode("apart").alias("h"))
+    rows = rows.withColumn("often", F.count("*").over(Window.partitionBy("family", "h")))
+    rows = rows.withColumn("left", F.col("size") - F.row_number().over(Window.partitionBy("fp").orderBy("often", "h")) + 1)
+    return rows.where((F.col("often") > 1) & (twice * F.col("left") >= F.col("w") + F.col("other"))).select("family", "h", "fp", "label", "w", "core", "left")
+
+
+def _cored(apart: DataFrame) -> DataFrame:
+    least = apart.groupBy("family").agg(F.min(F.struct("w", "fp")).alias("least"))
+    return apart.join(least, "family").withColumn("core", F.col("w") + F.col("least.w") <= 0)
+
+
+def _relatives(apart: DataFrame, t: Fraction) -> tuple[DataFrame, DataFrame]:
+    """Of _differences(): (u, v) that are as similar as t, from the member with the least w; and all other (u, v) of one family
+    and different components that may be."""
+    near = _cored(apart).where("core and fp <> least.fp").select(F.least("fp", "least.fp").alias("u"), F.greatest("fp", "least.fp").alias("v"))
+    row, rows = F.struct("fp", "label", "w", "core", "left"), written(_placed_apart(apart, t), "near-placed")
+    x, y = rows.select("family", "h", row.alias("x")), rows.where("not core").select("family", "h", row.alias("y"))
+    may = f"x.label <> y.label and (x.core or x.fp < y.fp) and x.w + y.w <= {2 * (t.numerator + t.denominator)}L * least(x.left, y.left)"
+    return near, x.join(y, ["family", "h"]).where(may).select(F.col("x.fp").alias("u"), F.col("y.fp").alias("v"))
+
+
+def _crossing(split: DataFrame, t: Fraction, pairwise: int, families: DataFrame | None = None) -> DataFrame:
+    """All (u, v) of one bucket and different components, those of large buckets only where they share none of a few before;
+    without those of one of families (fp, family)."""
+    split = split.withColumn("family", F.lit(None).cast("long")) if families is None else split.join(families.select("fp", "family"), "fp", "left")
+    row = F.struct("fp", "n", "p", "q", "label", "family")
+    apart = "x.label <> y.label and coalesce(x.family <> y.family, true)"
+    whole = F.expr(f"flatten(transform(xs, x -> transform(filter(xs, y -> y.fp > x.fp and {apart} and {_possible('x', 'y', t)}), y -> struct(x.fp as u, y.fp as v))))")
     small = split.where(F.col("m") <= pairwise).groupBy("token").agg(F.collect_list(row).alias("xs")).select(F.explode(whole).alias("e")).select("e.u", "e.v")
     big = split.where(F.col("m") > pairwise)
-    row = F.struct("fp", "n", "p", "q", "r", "label", "before")
-    shares = big.groupBy("token", "label").agg(F.count("*").alias("k"))
-    main = shares.groupBy("token").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
-    rest = big.join(main, "token").where("label <> main").select("token", row.alias("y"))
-    more = big.select("token", row.alias("x")).join(rest, "token").where(f"x.label <> y.label and {_first('x', 'y', t)}")
+    row = F.struct("fp", "n", "p", "q", "r", "label", "family", "before")
+
+    def largest(column: str) -> DataFrame:
+        shares = big.where(F.col(column).isNotNull()).groupBy("token", column).agg(F.count("*").alias("k"))
+        return shares.groupBy("token").agg(F.max(F.struct("k", F.col(column).alias("of"))).alias(f"main_{column}"))
+
+    # Of each pair one is outside the largest component, and one outside the largest family: the smaller rest is taken.
+    main = largest("label").join(largest("family"), "token", "left")
+    outside = "if(main_label.k >= coalesce(main_family.k, 0L), label <> main_label.of, coalesce(family <> main_family.of, true))"
+    rest = big.join(main, "token").where(outside).select("token", row.alias("y"))
+    more = big.select("token", row.alias("x")).join(rest, "token").where(f"{apart} and {_first('x', 'y', t)}")
     return small.unionByName(more.select(F.col("x.fp").alias("u"), F.col("y.fp").alias("v")))
 
 
+def _remaining(split: DataFrame, texts: DataFrame, each: DataFrame, t: Fraction, pairwise: int) -> DataFrame:
+    """The (u, v) that join whatever similar sets split still has in different components."""
+    families = _families(split, t, pairwise)
+    if families.isEmpty():
+        return _confirmed(_crossing(split, t, pairwise), texts, each, t)
+    near, pairs = _relatives(_differences(families, texts, each, t), t)
+    return _confirmed(_crossing(split, t, pairwise, families).unionByName(pairs), texts, each, t).unionByName(near)
+
+
 def by_simhash(each: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, leaders: int = LEADERS[0]) -> DataFrame:
     """(u, v): confirmed pairs among those whose SimHashes agree under a mask. each: (fp, first, n, bits, sketch)."""
     t, split = _ratio(similarity), alike(each)
@@ -299,7 +385,7 @@ def links(each: DataFrame, texts: DataFrame, met: DataFrame, similarity: float =
         open_ = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m")).where("low <> high").select("token", "m")
         split = written(_placed(named.join(open_, "token"), t), "near-split")
         last = turn == len(leaders)
-        new = _confirmed(_crossing(split, t, pairwise) if last else _nominated(split, t, turn, leaders[turn]), texts, each, t)
+        new = _remaining(split, texts, each, t, pairwise) if last else _confirmed(_nominated(split, t, turn, leaders[turn]), texts, each, t)
         dropped(split)
         found = written(found.unionByName(new).distinct(), "near-links")
     return found

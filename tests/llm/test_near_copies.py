@@ -119,3 +119,52 @@ def test_pairs_of_a_crowd_are_given_once(spark):
     pairs = near_copies._crossing(split, t, 2).selectExpr("least(u, v) as u", "greatest(u, v) as v")
     assert 0 < pairs.count() <= 3 * pairs.distinct().count()
     assert {x.component_id for x in near_copies.near_copies(texts, pairwise=2).collect()} == brute_first(rows)
+
+
+def test_a_family_of_edited_copies_is_not_paired_off(spark, monkeypatch):
+    """Edited copies of one text, most pairs of which are not near copies: the last round has few candidates."""
+    r = random.Random(13)
+    base = [f"f{i}" for i in range(150)]
+    rows = list(enumerate(" ".join(edited(r, base, r.choice([1, 2, 2, 3, 4]))) for _ in range(240)))
+    met, likely = [], near_copies._likely
+    monkeypatch.setattr(near_copies, "_likely", lambda pairs, *rest: met.append(pairs.selectExpr("least(u, v)", "greatest(u, v)").distinct().count()) or likely(pairs, *rest))
+    got = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.component_id for x in got} == brute_first(rows)
+    assert met[-1] < 5 * len(rows)
+
+
+@pytest.mark.parametrize("typical", [1, 64])
+@pytest.mark.parametrize("similarity", [0.8, 0.6, 1])
+def test_a_family_is_settled_whatever_its_typical_set(spark, monkeypatch, typical, similarity):
+    """Families of edited copies, of two bases' and of unlike texts: the links found join what brute force joins, and are links."""
+    monkeypatch.setattr(near_copies, "TYPICAL", typical)
+    r = random.Random(14)
+    bases = [[f"b{k}x{i}" for i in range(n)] for k, n in enumerate([90, 90, 30, 7])]
+    made = [(1, edited(r, bases[0], r.randrange(6))) for _ in range(40)]
+    made += [(2, edited(r, bases[r.randrange(2)], r.randrange(4))) for _ in range(30)]
+    made += [(3, edited(r, bases[2], 1)[: r.randrange(20, 31)]) for _ in range(20)]
+    made += [(4, [f"u{r.randrange(10**6)}" for _ in range(r.choice([3, 40]))]) for _ in range(10)] + [(4, bases[3]), (4, bases[3][1:])]
+    rows = list({" ".join(words): (i, " ".join(words), family) for i, (family, words) in enumerate(made)}.values())
+    docs = spark.createDataFrame(rows, "doc_id long, text string, family long")
+    texts = docs.select("doc_id", "text")
+    each = near_copies._sets_of(texts).withColumnRenamed("doc_id", "first")
+    families = each.join(docs, each["first"] == docs["doc_id"]).selectExpr("fp", "fp as label", "family")
+    t = near_copies._ratio(similarity)
+    near, may = near_copies._relatives(near_copies._differences(families, texts, each, t), t)
+    id_of = {x.fp: x["first"] for x in each.collect()}
+    near, may = ({tuple(sorted((id_of[e.u], id_of[e.v]))) for e in d.collect()} for d in (near, may))
+    sets, family = {i: brute_shingles(text) for i, text, _ in rows}, {i: f for i, _, f in rows}
+    linked = {
+        (a, b) for a, b in itertools.combinations(sorted(sets), 2)
+        if family[a] == family[b] and (t.numerator + t.denominator) * len(sets[a] & sets[b]) >= t.numerator * (len(sets[a]) + len(sets[b]))
+    }
+
+    def groups(edges):
+        root = {i: i for i in sets}
+        for a, b in sorted(edges):
+            old, new = root[a], root[b]
+            root = {i: new if x == old else x for i, x in root.items()}
+        return {frozenset(i for i in sets if root[i] == x) for x in root.values()}
+
+    assert near <= linked and groups(near | may & linked) == groups(linked)
+    assert bool(linked) == (similarity < 1)
